@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.llm.heavy_hitters import heavy_hitters
+from quern.llm.link_groups import link_groups
+from quern.llm.rank_sketch import merge_sketches, quantiles, sketches
 from quern.llm.term_frequencies import mark_terms, term_frequencies
 from quern.plans.live import SQL_LIVE, indexed_documents, read_live
 from quern.sources.tables import table
@@ -21,7 +24,44 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "derivations").select(text.term("word_a").alias("a"), text.term("word_b").alias("b"))
+    return link_groups(words, "a", "b")
+
+
+def _valid_searches(log: DataFrame) -> DataFrame:
+    """id, algo, build, day, elapsed of the searches whose time counts; a search that was sent again counts once."""
+    rows = log.select("id", F.lower(F.trim("algo_resolved")).alias("algo"), F.trim("index_built").alias("build"), F.to_date("ts").alias("day"), "elapsed", "cached")
+    valid = rows.where("id is not null and cached = 0 and elapsed > 0 and elapsed < double('infinity') and algo <> '' and build <> ''")
+    return valid.select("id", "algo", "build", "day", "elapsed").dropDuplicates(["id"])
+
+
+def p3_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Medians of each day, from sketches that are kept per day."""
+    keys = {"algo_resolved": "algo", "index_built": "build", "day": "day"}
+    daily = merge_sketches(sketches(_valid_searches(table(spark, folder, "search_log")), keys, "elapsed"), list(keys))
+    return quantiles(daily, list(keys), [0.5, 0.9, 0.99])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    keys = {"algo_resolved": "algo", "index_built": "build"}
+    merged = merge_sketches(sketches(_valid_searches(table(spark, folder, "search_log")), keys, "elapsed"), list(keys))
+    q = quantiles(merged, list(keys), [0.5, 0.95])
+    return q.where(F.col("quantiles")[1] >= 6 * F.col("quantiles")[0]).where("n >= 100").select(*keys)
+
+
+def p5_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The commonest queries with estimated and exact counts."""
+    log = table(spark, folder, "search_log").where("page = 1 and id is not null").select("id", text.phrase("query").alias("query"))
+    found = heavy_hitters(log.where("query <> ''"), "query", 0.005, once_by="id")
+    return found.withColumnRenamed("value", "query")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_queries(spark, folder).select("query")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p5_found": p5_found, "p5_queries": p5_queries}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),
@@ -30,4 +70,19 @@ terms as (select coalesce(c.term, v.term) as term, coalesce(occurrences, 0) as o
           from counted c full join (select * from vocabulary where term <> '') v on c.term = v.term),
 marked as (select *, case when doc_freq <= 2 then 'rare' when doc_freq > 0.25 * (select count(*) from indexed) then 'common' end as mark from terms)"""
 
-SQL = {"p1_found": f"{SQL_TERMS} select term, mark from marked where mark is not null", "p1_terms": f"{SQL_TERMS} select term, occurrences, doc_freq, mark from marked"}
+SQL_VALID = """valid as (select distinct id, lower(trim(algo_resolved)) as algo_resolved, trim(index_built) as index_built, elapsed from search_log
+where id is not null and cached = 0 and elapsed > 0 and not isnan(elapsed) and not isinf(elapsed) and trim(algo_resolved) <> '' and trim(index_built) <> '')"""
+
+SQL = {
+    "p1_found": f"{SQL_TERMS} select term, mark from marked where mark is not null",
+    "p1_terms": f"{SQL_TERMS} select term, occurrences, doc_freq, mark from marked",
+    "p2_found": f"""with recursive pairs as (select distinct {text.sql_term("word_a")} as a, {text.sql_term("word_b")} as b from derivations),
+links as (select a, b from pairs where a <> '' and b <> '' and a <> b union select b, a from pairs where a <> '' and b <> '' and a <> b),
+reach as (select distinct a as word, a as other from links union select r.word, l.b from reach r join links l on r.other = l.a)
+select word, min(other) as group_word from reach group by word""",
+    "p3_found": f"""with {SQL_VALID} select algo_resolved, index_built from valid group by 1, 2
+having count(*) >= 100 and quantile_disc(elapsed, 0.95) >= 6 * quantile_disc(elapsed, 0.5)""",
+    "p5_found": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
+counted as (select query, count(*) as n from once where query <> '' group by query)
+select query from counted where n >= 0.005 * (select sum(n) from counted)""",
+}
