@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.llm.distinctive_terms import most_distinctive, term_scores, word_degrees
 from quern.llm.heavy_hitters import heavy_hitters
 from quern.llm.link_groups import link_groups
 from quern.llm.rank_sketch import merge_sketches, quantiles, sketches
 from quern.llm.term_frequencies import mark_terms, term_frequencies
-from quern.plans.live import SQL_LIVE, indexed_documents, read_live
+from quern.llm.top_items import top_per_group
+from quern.plans.live import SQL_INDEXED, SQL_LIVE, indexed_documents, read_live
 from quern.sources.tables import table
 
 
@@ -50,6 +52,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return q.where(F.col("quantiles")[1] >= 6 * F.col("quantiles")[0]).where("n >= 100").select(*keys)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The formula of this query has the frequency as local weight; the degree is that of p4_degrees."""
+    live = read_live(spark, folder).where("field = 'opening'")
+    n = indexed_documents(table(spark, folder, "doclens")).count()
+    return most_distinctive(term_scores(live, "doc_id", "term", "freq", n), "doc_id").select("doc_id", "term")
+
+
+def p4_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    """Graph-of-words score of every term of every opening."""
+    indexed = indexed_documents(table(spark, folder, "doclens"))
+    openings = table(spark, folder, "documents").join(indexed, "doc_id", "left_semi").select("doc_id", text.tokens("opening").alias("words"))
+    return term_scores(word_degrees(openings, "doc_id", "words"), "doc_id", "term", "degree", indexed.count())
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return top_per_group(read_live(spark, folder), ["field", "term"], "freq", "doc_id", 3).select("field", "term", "doc_id")
+
+
 def p5_queries(spark: SparkSession, folder: str) -> DataFrame:
     """The commonest queries with estimated and exact counts."""
     log = table(spark, folder, "search_log").where("page = 1 and id is not null").select("id", text.phrase("query").alias("query"))
@@ -61,7 +81,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_queries(spark, folder).select("query")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p5_found": p5_found, "p5_queries": p5_queries}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p6_found": p6_found}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),
@@ -82,6 +102,19 @@ reach as (select distinct a as word, a as other from links union select r.word,
 select word, min(other) as group_word from reach group by word""",
     "p3_found": f"""with {SQL_VALID} select algo_resolved, index_built from valid group by 1, 2
 having count(*) >= 100 and quantile_disc(elapsed, 0.95) >= 6 * quantile_disc(elapsed, 0.5)""",
+    "p4_found": f"""with {SQL_LIVE},
+o as (select doc_id, term, freq from live where field = 'opening'), df as (select term, count(*) as df from o group by term),
+scored as (select doc_id, o.term, round(freq * ln(((select count(*) from indexed) + 0.5) / (df + 0.5) + 1), 6) as score from o join df on o.term = df.term)
+select doc_id, term from scored qualify row_number() over (partition by doc_id order by score desc, term) = 1""",
+    "p4_degrees": f"""with {SQL_INDEXED},
+w as (select doc_id, {text.sql_tokens("opening")} as w from documents where doc_id in (select doc_id from indexed)),
+pl as (select doc_id, unnest(w) as a, unnest(range(len(w))) as i from w),
+near as (select x.doc_id, x.a as term, y.a as near from pl x join pl y on x.doc_id = y.doc_id and x.a <> y.a and abs(x.i - y.i) between 1 and 3),
+deg as (select a.doc_id, a.a as term, coalesce(any_value(k), 0) as weight from pl a
+        left join (select doc_id, term, count(distinct near) as k from near group by doc_id, term) n on a.doc_id = n.doc_id and a.a = n.term group by 1, 2),
+df as (select term, count(*) as doc_freq from deg group by term)
+select doc_id, d.term, weight, doc_freq, round(weight * ln(((select count(*) from indexed) + 0.5) / (doc_freq + 0.5) + 1), 6) as score from deg d join df on d.term = df.term""",
+    "p6_found": f"with {SQL_LIVE} select field, term, doc_id from live qualify row_number() over (partition by field, term order by freq desc, doc_id) <= 3",
     "p5_found": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
 counted as (select query, count(*) as n from once where query <> '' group by query)
 select query from counted where n >= 0.005 * (select sum(n) from counted)""",
