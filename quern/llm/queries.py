@@ -9,8 +9,11 @@ from quern.functions import text
 from quern.llm.distinctive_terms import most_distinctive, term_scores, word_degrees
 from quern.llm.heavy_hitters import heavy_hitters
 from quern.llm.link_groups import link_groups
+from quern.llm.mixing import mix_sources, reached_shares, read_targets
+from quern.llm.packing import pack
 from quern.llm.rank_sketch import merge_sketches, quantiles, sketches
 from quern.llm.term_frequencies import mark_terms, term_frequencies
+from quern.llm.token_counts import token_count
 from quern.llm.top_items import top_per_group
 from quern.plans.live import SQL_INDEXED, SQL_LIVE, indexed_documents, read_live
 from quern.sources.tables import table
@@ -81,7 +84,31 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_queries(spark, folder).select("query")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p6_found": p6_found}
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, in every packing task, with its bin."""
+    sizes = table(spark, folder, "documents").select("doc_id", token_count("text").alias("tokens"))
+    tasks = [(r["pack_id"], r["capacity"]) for r in table(spark, folder, "pack_sizes").orderBy("pack_id").limit(1000).collect()]
+    return pack(sizes, "doc_id", "tokens", tasks)
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, list]:
+    records = table(spark, folder, "documents").select("doc_id", text.trim(text.fold("source")).alias("source"), token_count("text").alias("tokens"))
+    targets = table(spark, folder, "source_targets").withColumn("source", text.trim(text.fold("source")))
+    wanted = read_targets(targets, "source", "target_share", "max_repeats")
+    return mix_sources(records, "doc_id", "source", "tokens", wanted), wanted
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and how often it is used."""
+    return _mixture(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that were reached."""
+    return reached_shares(*(lambda m, t: (m, "source", "tokens", t))(*_mixture(spark, folder)))
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p6_found": p6_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),
