@@ -12,6 +12,7 @@ from quern.llm.link_groups import link_groups
 from quern.llm.mixing import mix_sources, reached_shares, read_targets
 from quern.llm.packing import pack
 from quern.llm.rank_sketch import merge_sketches, quantiles, sketches
+from quern.llm.subjects import document_subjects
 from quern.llm.term_frequencies import mark_terms, term_frequencies
 from quern.llm.token_counts import token_count
 from quern.llm.top_items import top_per_group
@@ -108,7 +109,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(*(lambda m, t: (m, "source", "tokens", t))(*_mixture(spark, folder)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p6_found": p6_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of all documents, with the share of sentences about each."""
+    subjects = [r["subject"] for r in table(spark, folder, "subjects").orderBy("subject").limit(10_000).collect()]
+    return document_subjects(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "subject_labels"), subjects)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = table(spark, folder, "subject_labels").where("doc_id is not null").select("doc_id").distinct()
+    return p10_subjects(spark, folder).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p6_found": p6_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),
