@@ -194,7 +194,7 @@ def run(index: Index, plans: Sequence[Plan]) -> Result:
         qt = F.broadcast(qt)
     k = lambda p: p.knobs
     q_rows = [
-        (p.query_id, p.algo, sum(p.weights.values()), k(p).k1, k(p).b, k(p).delta, float(k(p).rrf_k), k(p).proximity_weight if len({*p.parsed.required, *p.original}) >= 2 else 0.0, k(p).title_bonus_base, k(p).title_bonus_span, k(p).title_bonus_half, k(p).title_bonus_partial, k(p).freq_tf_log, len(p.slots) if p.profile.title_field in p.weights else 0,
+        (p.query_id, p.algo, sum(p.weights.values()), float(k(p).k1), float(k(p).b), float(k(p).delta), float(k(p).rrf_k), float(k(p).proximity_weight) if len({*p.parsed.required, *p.original}) >= 2 else 0.0, *map(float, (k(p).title_bonus_base, k(p).title_bonus_span, k(p).title_bonus_half, k(p).title_bonus_partial)), k(p).freq_tf_log, len(p.slots) if p.profile.title_field in p.weights else 0,
          p.profile.phase1_limit if p.options.two_phase and any(f in p.weights for f in p.profile.heavy_fields) else p.profile.candidate_limit, p.options.page, p.options.per_page, k(p).snippet_length)
         for p in live
     ]
@@ -230,9 +230,9 @@ def retrieve(plans: Sequence[Plan], matched: DataFrame, qs: DataFrame) -> DataFr
     if broad:
         # all required words are broad: documents with an optional word, then a bounded sample of the rarest group's
         spark = matched.sparkSession
-        anchors = spark.createDataFrame([(p.query_id, t, i, p.profile.broad_cap) for p in broad for i, t in enumerate(p.groups[p.anchor])], "query_id long, term string, place int, cap long")
-        first = matched.where("grp > 0").join(F.broadcast(anchors), ["query_id", "term"]).select("query_id", "doc_id", "field", "place", "cap")
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "field").orderBy("place", "doc_id"))).where(F.col("r") <= F.col("cap"))
+        anchors = spark.createDataFrame([(p.query_id, t, i, p.profile.broad_cap) for p in broad for i, t in enumerate(p.groups[p.anchor])], "query_id long, term string, place int, most long")
+        first = matched.where("grp > 0").join(F.broadcast(anchors), ["query_id", "term"]).select("query_id", "doc_id", "field", "place", "most")
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "field").orderBy("place", "doc_id"))).where(F.col("r") <= F.col("most"))
         sample = first.select("query_id", "doc_id").distinct().withColumn("sampled", F.lit(True))
         seeds = cand.where("seed").groupBy("query_id").agg(F.count("*").alias("seeds"))
         marks = spark.createDataFrame([(p.query_id, True) for p in broad], "query_id long, broad boolean")
