@@ -19,6 +19,20 @@ from quern.plans.query import FIELD_NAME
 from quern.scratch import Scratch, remove
 
 TABLES = ("postings", "doclens", "documents", "termstats", "field_stats", "vocabulary")
+
+
+def schema_of(table: str, doc_id_type: str, positions: bool) -> str:
+    """Schemas are given, not inferred: a table without rows may have no file."""
+    return {
+        "postings": f"term string, doc_id {doc_id_type}, freq int, {'pos array<int>, ' if positions else ''}field string",
+        "doclens": f"field string, doc_id {doc_id_type}, len int",
+        "documents": f"doc_id {doc_id_type}, title string, opening string",
+        "termstats": "field string, term string, doc_freq long, idf double",
+        "field_stats": "field string, total_docs long, total_length long",
+        "vocabulary": "term string, len int, fc string, first_field int",
+    }[table]
+
+
 FORMAT = {True: "quern-fold-v1", False: "quern-plain-v1"}
 
 
@@ -101,7 +115,7 @@ class Index:
         return self.meta.get(key)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.meta['version']}/{name}")
+        return self.spark.read.schema(schema_of(name, self.meta["doc_id_type"], self.positions)).parquet(f"{self.path}/{self.meta['version']}/{name}")
 
     @property
     def field_stats(self) -> dict[str, tuple[int, int]]:
@@ -169,7 +183,7 @@ class Index:
             shown.write.parquet(f"{at}/documents")
             say("stats")
             if stats or not kept:
-                write_stats(spark, at, side["fields"])
+                write_stats(spark, at, side)
             else:
                 for name in ("termstats", "field_stats", "vocabulary"):
                     kept[name].write.parquet(f"{at}/{name}")
@@ -208,16 +222,17 @@ class Index:
                 remove(self.spark, s.getPath().toString())
 
 
-def write_stats(spark: SparkSession, at: str, fields: Sequence[str]) -> None:
+def write_stats(spark: SparkSession, at: str, side: dict) -> None:
     """Field statistics, document frequencies with idf, and the vocabulary, from a version's postings and lengths."""
-    lens = spark.read.parquet(f"{at}/doclens")
+    fields = side["fields"]
+    read = lambda name: spark.read.schema(schema_of(name, side["doc_id_type"], side["positions"])).parquet(f"{at}/{name}")
+    lens = read("doclens")
     all_fields = spark.createDataFrame([(f,) for f in fields], "field string")
     got = lens.where("len > 0").groupBy("field").agg(F.count("*").alias("total_docs"), F.sum("len").alias("total_length"))
     all_fields.join(got, "field", "left").fillna(0).write.parquet(f"{at}/field_stats")
-    totals = {r["field"]: r["total_docs"] for r in spark.read.parquet(f"{at}/field_stats").collect()}
-    postings = spark.read.schema(spark.read.parquet(f"{at}/postings").schema).parquet(f"{at}/postings")
-    term_docs = postings.groupBy("field", "term").agg(F.count("*").alias("doc_freq"))
+    totals = {r["field"]: r["total_docs"] for r in read("field_stats").collect()}
+    term_docs = read("postings").groupBy("field", "term").agg(F.count("*").alias("doc_freq"))
     with_idf(term_docs, totals).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{at}/termstats")
     order = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])[F.col("field")]
-    words = spark.read.parquet(f"{at}/termstats").groupBy("term").agg(F.min(order).alias("first_field"))
+    words = read("termstats").groupBy("term").agg(F.min(order).alias("first_field"))
     words.select("term", F.length("term").alias("len"), F.substring("term", 1, 1).alias("fc"), "first_field").write.parquet(f"{at}/vocabulary")
