@@ -29,6 +29,7 @@ FRAME_SHARE = 0.2
 LABEL_ROWS = 200_000
 LABEL_TRUST = 5.0
 LEAST_EVIDENCE = 1.2
+CLEAR = 0.25
 
 TAG = re.compile(r"<[^>]{0,200}>")
 BREAK = re.compile(r"\n+|(?<=[.!?])\s+")
@@ -64,18 +65,18 @@ class Vocabulary:
     docs: np.ndarray
 
 
-def read_vocabulary(read: DataFrame, n_docs: int) -> Vocabulary:
+def read_vocabulary(read: DataFrame, n_docs: int, n_subjects: int) -> Vocabulary:
     """Words of at least LEAST_SHARE of the documents, 5 at least: at most the mean number of distinct words / LEAST_SHARE.
 
     A word's weight is the logarithm of its rarity in the language in which it is commonest; words of over FRAME_SHARE
-    of a language's documents frame any text and have none. Languages are the groups of lang with over 1 % of the documents.
+    of a language's documents, or twice an even share of the subjects, frame any text and have none. Languages are the groups of lang with over 1 % of the documents.
     """
     groups = [r["lang"] for r in read.groupBy("lang").count().where(F.col("count") >= max(50, 0.01 * n_docs)).collect()]
     sizes = {r["lang"]: r["count"] for r in read.where(F.col("lang").isin(groups)).groupBy("lang").count().collect()}
     rows = read.select("lang", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(groups)))
     kept = sorted(rows.where(F.col("n") >= max(5, LEAST_SHARE * n_docs)).collect(), key=lambda r: r["w"])
     weight = np.array([min([np.log((sizes[g] + 1) / (r[f"n{i}"] + 1)) for i, g in enumerate(groups)] or [np.log((n_docs + 1) / (r["n"] + 1))]) for r in kept])
-    weight[weight < np.log(1 / FRAME_SHARE)] = 0
+    weight[weight < np.log(1 / min(1.0, max(FRAME_SHARE, 2 / n_subjects)))] = 0
     # rarer still says no more: such words are names
     weight = np.minimum(weight, np.log(100.0))
     words = [r["w"] for r in kept]
@@ -292,7 +293,9 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects:
     given = (from_leaves + prior[:, None]) / (from_leaves.sum(0) + 1)
     given = (LABEL_TRUST * given + n_label) / (LABEL_TRUST + n_label.sum(0))
     evidence = np.log((given + 0.01) / (prior[:, None] + 0.01)) * (vocabulary.docs / (vocabulary.docs + 5))
-    evidence[:, ~votes | (given.max(0) < 0.35)] = 0
+    # a term speaks for a subject only if it closes a quarter of the gap from the subject's share to certainty
+    clear = (given >= prior[:, None] + CLEAR * (1 - prior[:, None])).any(axis=0)
+    evidence[:, ~votes | ~clear] = 0
     for x in sent:
         x.unpersist()
     return SubjectModel(subjects, np.clip(evidence, -1, 4), terms, {v: mixture[i] for i, v in enumerate(leaves)})
@@ -341,7 +344,7 @@ def document_subjects(documents: DataFrame, doc: str, whole_text: str, lang: str
     with Scratch(spark, "subjects") as scratch:
         read = scratch.write(given.mapInArrow(_read, f"id {kind}, lang string, said array<array<string>>, words array<string>"))
         n_docs = read.where("size(words) > 0").count()
-        vocabulary = read_vocabulary(read, n_docs)
+        vocabulary = read_vocabulary(read, n_docs, max(1, len(subjects)))
         index_of = spark.sparkContext.broadcast(vocabulary.index)
         encoded = scratch.write(read.select("id", "said").mapInArrow(_encode(index_of), f"id {kind}, said array<array<int>>, terms array<int>, counts array<int>"), keep=True)
         if vocabulary.words and not known.isEmpty():
