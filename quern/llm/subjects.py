@@ -23,7 +23,7 @@ from quern.scratch import Scratch
 
 DEPTH = 8
 DIMENSIONS = 1024
-POWER_PASSES, MEAN_PASSES = 2, 4
+POWER_PASSES, MEAN_PASSES = 2, 3
 LEAST_SHARE = 5e-4
 FRAME_SHARE = 0.2
 LABEL_ROWS = 200_000
@@ -40,21 +40,30 @@ DIGIT = re.compile(r"\d")
 def sentences(whole: str | None) -> list[list[str]]:
     """Folded words of each sentence. Markup is left out, and lines that are lists of links; so are words with digits."""
     out = []
-    for s in BREAK.split(TAG.sub("\n", html.unescape(whole or "")).replace("\xa0", " ")):
+    raw = whole or ""
+    if "&" in raw:
+        raw = html.unescape(raw)
+    if "<" in raw:
+        raw = TAG.sub("\n", raw)
+    for s in BREAK.split(raw.replace("\xa0", " ")):
         if s and not FURNITURE.search(s):
-            words = [w for w in text.tokens_py(s) if not DIGIT.search(w)]
+            words = [w for w in text.tokens_py(s) if w.isalpha() or not DIGIT.search(w)]
             if words:
                 out.append(words)
     return out
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """said: words by spaces, sentences by lines. words: the distinct ones, by spaces."""
     for b in batches:
-        for i in range(0, b.num_rows, 500):
-            part = b.slice(i, 500)
-            said = [sentences(t) for t in part.column("text").to_pylist()]
-            words = [sorted({w for s in d for w in s}) for d in said]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(said, pa.list_(pa.list_(pa.string()))), pa.array(words, pa.list_(pa.string()))], names=["id", "lang", "said", "words"])
+        for i in range(0, b.num_rows, 1000):
+            part = b.slice(i, 1000)
+            said, words = [], []
+            for t in part.column("text").to_pylist():
+                found = sentences(t)
+                said.append("\n".join([" ".join(s) for s in found]))
+                words.append(" ".join({w for s in found for w in s}))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(said, pa.string()), pa.array(words, pa.string())], names=["id", "lang", "said", "words"])
 
 
 @dataclass
@@ -73,7 +82,7 @@ def read_vocabulary(read: DataFrame, n_docs: int, n_subjects: int) -> Vocabulary
     """
     groups = [r["lang"] for r in read.groupBy("lang").count().where(F.col("count") >= max(50, 0.01 * n_docs)).collect()]
     sizes = {r["lang"]: r["count"] for r in read.where(F.col("lang").isin(groups)).groupBy("lang").count().collect()}
-    rows = read.select("lang", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(groups)))
+    rows = read.where("words <> ''").select("lang", F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(groups)))
     kept = sorted(rows.where(F.col("n") >= max(5, LEAST_SHARE * n_docs)).collect(), key=lambda r: r["w"])
     weight = np.array([min([np.log((sizes[g] + 1) / (r[f"n{i}"] + 1)) for i, g in enumerate(groups)] or [np.log((n_docs + 1) / (r["n"] + 1))]) for r in kept])
     weight[weight < np.log(1 / min(1.0, max(FRAME_SHARE, 2 / n_subjects)))] = 0
@@ -83,26 +92,45 @@ def read_vocabulary(read: DataFrame, n_docs: int, n_subjects: int) -> Vocabulary
     return Vocabulary(words, {w: i for i, w in enumerate(words)}, weight, np.array([r["n"] for r in kept], float))
 
 
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+
+
 def _encode(index_of):
-    """said as term numbers, with the number of words of each sentence, and the document's terms with their counts."""
+    """said as term numbers of each sentence of three words or more, and the document's terms with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
+        number = index_of.value.get
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                said = [[[index[w] for w in set(s) if w in index] for s in d if len(s) >= 3] for d in part.column("said").to_pylist()]
-                terms, counts = [], []
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                flat, long_, sizes, per_doc = [], [], [], []
                 for d in part.column("said").to_pylist():
-                    n: dict[int, int] = {}
-                    for s in d:
-                        for w in s:
-                            if w in index:
-                                n[index[w]] = n.get(index[w], 0) + 1
-                    terms.append(list(n))
-                    counts.append(list(n.values()))
+                    lines = d.split("\n") if d else []
+                    per_doc.append(len(lines))
+                    for line in lines:
+                        words = line.split(" ")
+                        long_.append(len(words) >= 3)
+                        sizes.append(len(words))
+                        flat += [number(w, -1) for w in words]
+                term = np.array(flat, np.int64)
+                of_sentence = np.repeat(np.arange(len(sizes)), sizes)
+                of_doc = np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), sizes)
+                known = term >= 0
+                width = len(index_of.value) + 1
+                # the distinct terms of each sentence, and those of each document with their number
+                in_long = np.array(long_, bool)
+                ranks = np.cumsum(in_long) - 1
+                pick = known & (in_long[of_sentence] if len(sizes) else known)
+                said = np.unique(ranks[of_sentence[pick]] * width + term[pick]) if pick.any() else np.zeros(0, np.int64)
+                n_long = int(in_long.sum())
+                doc_of_sentence = np.repeat(np.arange(len(per_doc)), per_doc)
+                inner = _lists(np.bincount(said // width, minlength=n_long), pa.array((said % width).astype(np.int32)))
+                outer = _lists(np.bincount(doc_of_sentence[in_long], minlength=len(per_doc)) if n_long else np.zeros(len(per_doc), int), inner)
+                pairs, counts = np.unique(of_doc[known] * width + term[known], return_counts=True)
+                n = np.bincount(pairs // width, minlength=len(per_doc)) if len(pairs) else np.zeros(len(per_doc), int)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(said, pa.list_(pa.list_(pa.int32()))), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "said", "terms", "counts"]
+                    [part.column("id"), outer, _lists(n, pa.array((pairs % width).astype(np.int32))), _lists(n, pa.array(counts.astype(np.int32)))], names=["id", "said", "terms", "counts"]
                 )
 
     return run
@@ -342,8 +370,8 @@ def document_subjects(documents: DataFrame, doc: str, whole_text: str, lang: str
     given = documents.select(F.col(doc).alias("id"), F.substring(F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))), 1, 2).alias("lang"), F.col(whole_text).alias("text"))
     known = labels.select(F.col(doc).alias("id"), text.trim(text.fold("subject")).alias("subject"))
     with Scratch(spark, "subjects") as scratch:
-        read = scratch.write(given.mapInArrow(_read, f"id {kind}, lang string, said array<array<string>>, words array<string>"))
-        n_docs = read.where("size(words) > 0").count()
+        read = scratch.write(given.mapInArrow(_read, f"id {kind}, lang string, said string, words string"))
+        n_docs = read.where("words <> ''").count()
         vocabulary = read_vocabulary(read, n_docs, max(1, len(subjects)))
         index_of = spark.sparkContext.broadcast(vocabulary.index)
         encoded = scratch.write(read.select("id", "said").mapInArrow(_encode(index_of), f"id {kind}, said array<array<int>>, terms array<int>, counts array<int>"), keep=True)
