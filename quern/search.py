@@ -26,14 +26,17 @@ CONTEXT_DOCS = 2000
 PLAIN = ("bm25", "bm25+cov", "dfr", "cover", "idf", "freq")
 NEAR = ("bm25", "bm25+cov", "bm25f", "dfr")
 
-TERM_SCHEMA = "query_id long, field string, term string, boost double, idf double, concept string, cap double, wild boolean, top_idf double, cov long, grp long, need long, opt boolean, score boolean, orig boolean, slot long, field_no int, weight double"
-QUERY_SCHEMA = "query_id long, algo string, total_weight double, k1 double, b double, delta double, rrf_k double, prox double, base double, span double, half double, partial double, tf_log boolean, concepts int, cand_limit long, page int, per_page int, snippet int"
-FIELD_SCHEMA = "query_id long, field string, n double, avgdl double, total double, plain_total double, field_b double"
+TERM_SCHEMA = (
+    "query_id long, field string, term string, boost double, idf double, concept string, cap double, wild boolean, top_idf double, cov long, grp long, need long, opt boolean, orig boolean, slot long, field_no int, weight double, "
+    # what holds for the whole query or for its field
+    "algo string, total_weight double, k1 double, b double, delta double, rrf_k double, prox double, tf_log boolean, n double, avgdl double, total double, plain_total double, field_b double"
+)
+QUERY_SCHEMA = "query_id long, base double, span double, half double, partial double, concepts int"
 
 
 @dataclass
 class Result:
-    """hits: query_id, rank, doc_id, score, title, field_scores, matches, snippet, of the page. plans: how each query was understood."""
+    """hits: query_id, rank, doc_id, score, title, field_scores, matches, snippet, of the page (bm25f has no field scores: 0). plans: how each query was understood."""
 
     hits: DataFrame
     scored: DataFrame
@@ -159,14 +162,20 @@ def _term_rows(index: Index, p: Plan) -> list[tuple]:
         f = max(p.weights, key=lambda f: p.df[f].get(t, 0))
         top[t] = p.idf[f].get(t, 0.0)
     rows = []
+    k = p.knobs
+    all_terms = [t for f in p.weights for t in (*p.required_terms, *p.by_field.get(f, []))]
+    query = (p.algo, sum(p.weights.values()), float(k.k1), float(k.b), float(k.delta), float(k.rrf_k), float(k.proximity_weight) if len(typed) >= 2 and p.algo in NEAR else 0.0, k.freq_tf_log)
     for i, (f, w) in enumerate(p.weights.items()):
         optional = set(p.by_field.get(f, []))
+        n, length = index.field_stats.get(f, (0, 0))
+        n = max(1, n)
+        own = (float(n), max(1.0, length / n), *_totals(p, all_terms if p.algo == "bm25f" else [*p.required_terms, *p.by_field.get(f, [])]), float(p.profile.field_b.get(f, k.b)))
         for t in dict.fromkeys([*p.required_terms, *p.by_field.get(f, [])]):
             concept = p.concept_of.get(t, "t:" + t) if p.expanded and p.knobs.concept_coverage else "t:" + t
             cap = p.concept_weight.get(concept, p.boost(t))
             is_wild = t in wild and p.concept_of.get(t, "").startswith(("ow:", "rw:"))
             idf_concept = p.concept_of.get(t, "") if is_wild else concept
-            rows.append((p.query_id, f, t, p.boost(t), p.idf.get(f, {}).get(t, 0.0), idf_concept if is_wild else concept, cap, is_wild, top.get(t, 0.0), cov.get(t, 0), grp.get(t, 0), need, f in opt_fields and t in optional, True, t in typed, slot.get(t, 0) if f == p.profile.title_field else 0, i, w))
+            rows.append((p.query_id, f, t, p.boost(t), p.idf.get(f, {}).get(t, 0.0), idf_concept if is_wild else concept, cap, is_wild, top.get(t, 0.0), cov.get(t, 0), grp.get(t, 0), need, f in opt_fields and t in optional, t in typed, slot.get(t, 0) if f == p.profile.title_field else 0, i, w, *query, *own))
     return rows
 
 
@@ -192,33 +201,25 @@ def run(index: Index, plans: Sequence[Plan]) -> Result:
     qt = spark.createDataFrame(term_rows, TERM_SCHEMA)
     if len(term_rows) <= BROADCAST_TERMS:
         qt = F.broadcast(qt)
-    k = lambda p: p.knobs
-    q_rows = [
-        (p.query_id, p.algo, sum(p.weights.values()), float(k(p).k1), float(k(p).b), float(k(p).delta), float(k(p).rrf_k), float(k(p).proximity_weight) if len({*p.parsed.required, *p.original}) >= 2 else 0.0, *map(float, (k(p).title_bonus_base, k(p).title_bonus_span, k(p).title_bonus_half, k(p).title_bonus_partial)), k(p).freq_tf_log, len(p.slots) if p.profile.title_field in p.weights else 0,
-         p.profile.phase1_limit if p.options.two_phase and any(f in p.weights for f in p.profile.heavy_fields) else p.profile.candidate_limit, p.options.page, p.options.per_page, k(p).snippet_length)
-        for p in live
-    ]
+    q_rows = [(p.query_id, *map(float, (p.knobs.title_bonus_base, p.knobs.title_bonus_span, p.knobs.title_bonus_half, p.knobs.title_bonus_partial)), len(p.slots) if p.profile.title_field in p.weights else 0) for p in live]
     qs = F.broadcast(spark.createDataFrame(q_rows, QUERY_SCHEMA))
-    f_rows = []
-    for p in live:
-        all_terms = [t for f in p.weights for t in (*p.required_terms, *p.by_field.get(f, []))]
-        for f in p.weights:
-            n, length = index.field_stats.get(f, (0, 0))
-            n = max(1, n)
-            total, plain = _totals(p, all_terms if p.algo == "bm25f" else [*p.required_terms, *p.by_field.get(f, [])])
-            f_rows.append((p.query_id, f, float(n), max(1.0, length / n), total, plain, float(p.profile.field_b.get(f, p.knobs.b))))
-    fs = F.broadcast(spark.createDataFrame(f_rows, FIELD_SCHEMA))
     postings = index.table("postings").select("field", "term", "doc_id", "freq")
     fields_used = sorted({f for p in live for f in p.weights})
     matched = postings.where(F.col("field").isin(fields_used)).join(qt, ["field", "term"])
-    kept = exclude(index, live, retrieve(live, matched, qs))
-    scored = score(index, live, matched, kept, qs, fs)
+    kept = exclude(index, live, retrieve(live, matched))
+    scored = score(index, live, matched, kept, qs)
     ordered = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("title_len"), "doc_id")))
-    page = ordered.join(qs.select("query_id", "page", "per_page", "snippet"), "query_id").where((F.col("rank") > (F.col("page") - 1) * F.col("per_page")) & (F.col("rank") <= F.col("page") * F.col("per_page")))
-    return Result(present(index, page, matched), ordered.select("query_id", "doc_id", "score", "rank"), list(plans))
+    options, length = (plans[0].options, plans[0].knobs.snippet_length) if plans else (Options(), 300)
+    # plain numbers, so that each task keeps no more of a query than the page needs
+    page = ordered.where((F.col("rank") <= options.page * options.per_page) & (F.col("rank") > (options.page - 1) * options.per_page))
+    return Result(present(index, page, length), ordered.select("query_id", "doc_id", "score", "rank"), list(plans))
+
 
+def _limit(p: Plan) -> int:
+    return p.profile.phase1_limit if p.options.two_phase and any(f in p.weights for f in p.profile.heavy_fields) else p.profile.candidate_limit
 
-def retrieve(plans: Sequence[Plan], matched: DataFrame, qs: DataFrame) -> DataFrame:
+
+def retrieve(plans: Sequence[Plan], matched: DataFrame) -> DataFrame:
     """query_id, doc_id of the candidates: all required groups present; of too many those with most typed words.
 
     Groups are bits, so any number of required words is one aggregate without an order of joins.
@@ -235,18 +236,15 @@ def retrieve(plans: Sequence[Plan], matched: DataFrame, qs: DataFrame) -> DataFr
         first = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "field").orderBy("place", "doc_id"))).where(F.col("r") <= F.col("most"))
         sample = first.select("query_id", "doc_id").distinct().withColumn("sampled", F.lit(True))
         seeds = cand.where("seed").groupBy("query_id").agg(F.count("*").alias("seeds"))
-        marks = spark.createDataFrame([(p.query_id, True) for p in broad], "query_id long, broad boolean")
-        some = cand.join(sample, ["query_id", "doc_id"], "left").join(F.broadcast(marks), "query_id", "left").join(seeds, "query_id", "left").join(qs.select("query_id", "cand_limit"), "query_id")
+        marks = spark.createDataFrame([(p.query_id, True, _limit(p)) for p in broad], "query_id long, broad boolean, cand_limit long")
+        some = cand.join(sample, ["query_id", "doc_id"], "left").join(F.broadcast(marks), "query_id", "left").join(seeds, "query_id", "left")
         few = (F.col("cand_limit") <= 0) | (F.coalesce("seeds", F.lit(0)) < F.col("cand_limit"))
         cand = some.where(F.col("broad").isNull() | F.col("seed") | (F.col("sampled") & few)).select("query_id", "doc_id", "cov", "first")
-    limits = sorted({p.profile.phase1_limit if p.options.two_phase and any(f in p.weights for f in p.profile.heavy_fields) else p.profile.candidate_limit for p in plans})
-    if not any(n > 0 for n in limits):
+    limit = max((_limit(p) for p in plans), default=0)  # the options are the same for the whole batch
+    if limit <= 0:
         return cand.select("query_id", "doc_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.bit_count("cov")), "first", "doc_id")
-    if len(limits) == 1:
-        return cand.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limits[0]).select("query_id", "doc_id")
-    ranked = cand.withColumn("r", F.row_number().over(order)).join(qs.select("query_id", "cand_limit"), "query_id")
-    return ranked.where((F.col("cand_limit") <= 0) | (F.col("r") <= F.col("cand_limit"))).select("query_id", "doc_id")
+    return cand.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("query_id", "doc_id")
 
 
 def exclude(index: Index, plans: Sequence[Plan], kept: DataFrame) -> DataFrame:
@@ -292,36 +290,35 @@ def phrase_hits(index: Index, phrases: Sequence[tuple], kept: DataFrame) -> Data
     return got.where("places = n").select("query_id", "doc_id", "phrase", "excluded").distinct()
 
 
-def score(index: Index, plans: Sequence[Plan], matched: DataFrame, kept: DataFrame, qs: DataFrame, fs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score (0 to 100), title_len of the kept documents with a score above 0.
+def score(index: Index, plans: Sequence[Plan], matched: DataFrame, kept: DataFrame, qs: DataFrame) -> DataFrame:
+    """query_id, doc_id, score (0 to 100), title_len, matches of the kept documents with a score above 0.
 
     All aggregates are over query and document, with more keys or fewer, so one shuffle serves them.
     """
     lens = index.table("doclens")
+    algos = {p.algo for p in plans}
     # the documents' rows meet their lengths by document
     rows = matched.join(kept, ["query_id", "doc_id"], "left_semi").join(lens, ["field", "doc_id"], "left").withColumn("dl", F.coalesce(F.col("len"), F.lit(1)).cast("double"))
-    rows = rows.join(fs, ["query_id", "field"]).join(qs, "query_id").repartition("query_id", "doc_id")
-    algos = {p.algo for p in plans}
-    parts = []
-    if algos & {*PLAIN, "rrf"}:
-        parts.append(_plain_scores(rows.where(F.col("algo") != "bm25f")))
+    rows = rows.repartition("query_id", "doc_id")
+    docs = _document_scores(rows)
     if "bm25f" in algos:
-        parts.append(_bm25f_scores(rows.where(F.col("algo") == "bm25f")))
-    if not parts:
-        return index.spark.createDataFrame([], f"query_id long, doc_id {index.doc_id_type()}, score double, title_len int")
-    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        own = _bm25f_scores(rows.where("algo = 'bm25f'")).withColumnRenamed("raw", "joined")
+        docs = docs.join(own, ["query_id", "doc_id"], "left").withColumn("raw", F.when(F.col("algo") == "bm25f", F.col("joined")).otherwise(F.col("raw"))).drop("joined")
     if "rrf" in algos:
-        raw = _fuse(raw)
-    extra = _proximity(rows).join(_title(rows), ["query_id", "doc_id"], "full") if any(p.knobs.proximity_weight > 0 for p in plans) else _title(rows).withColumn("near", F.lit(1.0))
+        docs = _fuse(docs)
     title = next((p.profile.title_field for p in plans), None)
     lengths = lens.where(F.col("field") == title).select("doc_id", F.col("len").alias("title_len"))
-    whole = raw.join(extra, ["query_id", "doc_id"], "left").join(lengths, "doc_id", "left").join(qs.drop("algo"), "query_id")
+    whole = docs.join(lengths, "doc_id", "left").join(qs, "query_id")
     share = F.least(F.lit(1.0), F.col("concepts") / F.greatest(F.lit(1), F.coalesce("title_len", F.lit(0))))
-    full = F.col("slots") >= F.col("concepts")
-    bonus = F.when((F.col("concepts") == 0) | (F.coalesce("slots", F.lit(0)) == 0), 1.0).when(full, F.col("base") + F.col("span") * share * share).when(F.col("slots") * 2 >= F.col("concepts"), F.col("half")).otherwise(F.col("partial"))
-    final = whole.withColumn("score", F.col("raw") * F.coalesce("near", F.lit(1.0)) * bonus).where("score > 0").select("query_id", "doc_id", "score", "title_len")
-    best = final.groupBy("query_id").agg(F.max("score").alias("best"))
-    return final.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("score") / F.col("best") * 100.0, 6).alias("score"), "title_len")
+    bonus = F.when((F.col("concepts") == 0) | (F.col("slots") == 0), 1.0).when(F.col("slots") >= F.col("concepts"), F.col("base") + F.col("span") * share * share).when(F.col("slots") * 2 >= F.col("concepts"), F.col("half")).otherwise(F.col("partial"))
+    final = whole.withColumn("score", F.col("raw") * F.col("near") * bonus).where("score > 0").select("query_id", "doc_id", "score", "title_len", "matches", "field_scores")
+    if plans and all(_limit(p) > 0 for p in plans):
+        # a query has a bounded number of candidates; its ranks need them in one place anyway
+        best = F.max("score").over(Window.partitionBy("query_id"))
+    else:
+        final = final.join(final.groupBy("query_id").agg(F.max("score").alias("best")), "query_id")
+        best = F.col("best")
+    return final.withColumn("score", F.round(F.col("score") / best * 100.0, 6)).select("query_id", "doc_id", "score", "title_len", "matches", "field_scores")
 
 
 def term_score(algo: str) -> Column:
@@ -339,29 +336,52 @@ def term_score(algo: str) -> Column:
     return F.col("idf") * F.col("boost")
 
 
-def _plain_scores(rows: DataFrame) -> DataFrame:
-    """raw (and, for fusion, its two parts) as the weighted mean of field scores; a concept counts once for coverage."""
+def _document_scores(rows: DataFrame) -> DataFrame:
+    """One row for each query and document: raw score (the weighted mean of field scores), cover for fusion, near, slots, matches.
+
+    A concept counts once for coverage. near: how densely pairs of typed words stand in the fields, as a factor from 1 on; slots: typed
+    words that the title has in any form.
+    """
     a = F.col("algo")
     value = F.when(a.isin("bm25", "bm25+cov", "rrf"), term_score("bm25")).when(a == "dfr", term_score("dfr")).when(a == "freq", term_score("freq")).when((a == "idf") & ~F.col("wild"), term_score("idf")).otherwise(0.0)
     keys = ["query_id", "doc_id", "field"]
-    per_query = ["algo", "total_weight", "weight", "total", "plain_total", "rrf_k"]
-    concept = rows.groupBy(*keys, "concept").agg(F.sum(value).alias("v"), F.max(F.when((a == "idf") & F.col("wild"), term_score("idf"))).alias("rarest"), F.max(F.least("boost", "cap")).alias("held"), F.sum("boost").alias("plain"), *(F.first(c).alias(c) for c in per_query))
-    fields_ = concept.groupBy(*keys).agg(F.sum(F.col("v") + F.coalesce("rarest", F.lit(0.0))).alias("v"), F.sum("held").alias("held"), F.sum("plain").alias("plain"), *(F.first(c).alias(c) for c in per_query))
+    # constant for a query and field, so any row's value will do; max keeps to hash aggregation
+    same = ["total_weight", "weight", "total", "plain_total", "rrf_k", "prox", "dl"]
+    typed = F.when(F.col("orig"), F.col("freq"))
+    concept = rows.groupBy(*keys, "algo", "concept").agg(
+        F.sum(value).alias("v"), F.max(F.when((a == "idf") & F.col("wild"), term_score("idf"))).alias("rarest"), F.max(F.least("boost", "cap")).alias("held"), F.sum("boost").alias("plain"),
+        F.collect_list(typed).alias("f"), F.collect_list("term").alias("terms"), F.bit_or("slot").alias("slot"), *(F.max(c).alias(c) for c in same),
+    )
+    fields_ = concept.groupBy(*keys, "algo").agg(
+        F.sum(F.col("v") + F.coalesce("rarest", F.lit(0.0))).alias("v"), F.sum("held").alias("held"), F.sum("plain").alias("plain"),
+        F.flatten(F.collect_list("f")).alias("f"), F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms"), F.bit_or("slot").alias("slot"), *(F.max(c).alias(c) for c in same),
+    )
     cov = F.when(F.col("total") > 0, F.col("held") / F.col("total")).otherwise(0.0)
     plain_cov = F.when(F.col("plain_total") > 0, F.col("plain") / F.col("plain_total")).otherwise(0.0)
     s = F.when(a == "cover", 100.0 * cov).when(a == "bm25+cov", F.col("v") * (1 + cov * cov)).otherwise(F.col("v"))
-    return fields_.groupBy("query_id", "doc_id").agg(F.first("algo").alias("algo"), F.first("rrf_k").alias("rrf_k"), (F.sum(F.col("weight") * s) / F.first("total_weight")).alias("raw"), (F.sum(F.col("weight") * 100.0 * plain_cov) / F.first("total_weight")).alias("cover"))
+    n = F.size("f")
+    dense = (F.col("prox") > 0) & (F.col("dl") >= 2) & (n >= 2)
+    pair = lambda x, y: F.col("weight") / (1 + F.col("dl") / (x + y))
+    with_later = lambda x, i: F.aggregate(F.slice("f", i + 2, n), F.lit(0.0), lambda t, y: t + pair(x, y))
+    pairs = F.when(dense, F.aggregate(F.transform("f", with_later), F.lit(0.0), lambda t, v: t + v)).otherwise(0.0)
+    ready = fields_.select("query_id", "doc_id", "field", "algo", "rrf_k", "prox", "total_weight", "terms", "slot", (F.col("weight") * s).alias("s"), F.round(F.when(a == "bm25f", 0.0).otherwise(s), 4).alias("own"), (F.col("weight") * 100.0 * plain_cov).alias("c"), pairs.alias("pairs"), F.when(dense, n * (n - 1) / 2).otherwise(0.0).alias("k"))
+    docs = ready.groupBy("query_id", "doc_id", "algo").agg(
+        F.max("rrf_k").alias("rrf_k"), (F.sum("s") / F.max("total_weight")).alias("raw"), (F.sum("c") / F.max("total_weight")).alias("cover"), F.max("prox").alias("prox"), F.sum("pairs").alias("pairs"), F.sum("k").alias("k"),
+        F.bit_count(F.bit_or("slot")).alias("slots"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "terms")))).alias("matches"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "own")))).alias("field_scores"),
+    )
+    near = F.when(F.col("k") > 0, 1 + F.col("prox") * F.least(F.lit(1.0), F.col("pairs") / F.col("k"))).otherwise(1.0)
+    return docs.select("query_id", "doc_id", "algo", "rrf_k", "raw", "cover", near.alias("near"), "slots", "matches", "field_scores")
 
 
 def _bm25f_scores(rows: DataFrame) -> DataFrame:
     """Frequencies of the fields joined before they saturate."""
     norm = F.col("freq") / (1 + F.col("field_b") * (F.col("dl") / F.col("avgdl") - 1))
-    terms = rows.groupBy("query_id", "doc_id", "concept", "term").agg(F.sum(F.col("weight") * norm).alias("tf"), *(F.first(c).alias(c) for c in ("boost", "cap", "top_idf", "total", "k1", "delta", "rrf_k")))
+    terms = rows.groupBy("query_id", "doc_id", "concept", "term").agg(F.sum(F.col("weight") * norm).alias("tf"), *(F.max(c).alias(c) for c in ("boost", "cap", "top_idf", "total", "k1", "delta")))
     value = F.col("top_idf") * (F.col("tf") * (F.col("k1") + 1) / (F.col("k1") + F.col("tf")) + F.col("delta")) * F.col("boost")
-    concepts = terms.groupBy("query_id", "doc_id", "concept").agg(F.sum(value).alias("v"), F.max(F.least("boost", "cap")).alias("held"), F.first("total").alias("total"), F.first("rrf_k").alias("rrf_k"))
-    docs = concepts.groupBy("query_id", "doc_id").agg(F.sum("v").alias("v"), F.sum("held").alias("held"), F.first("total").alias("total"), F.first("rrf_k").alias("rrf_k"))
+    concepts = terms.groupBy("query_id", "doc_id", "concept").agg(F.sum(value).alias("v"), F.max(F.least("boost", "cap")).alias("held"), F.max("total").alias("total"))
+    docs = concepts.groupBy("query_id", "doc_id").agg(F.sum("v").alias("v"), F.sum("held").alias("held"), F.max("total").alias("total"))
     cov = F.when(F.col("total") > 0, F.col("held") / F.col("total")).otherwise(0.0)
-    return docs.select("query_id", "doc_id", F.lit("bm25f").alias("algo"), "rrf_k", (F.col("v") * (1 + cov * cov)).alias("raw"), F.lit(0.0).alias("cover"))
+    return docs.select("query_id", "doc_id", (F.col("v") * (1 + cov * cov)).alias("raw"))
 
 
 def _fuse(raw: DataFrame) -> DataFrame:
@@ -373,23 +393,6 @@ def _fuse(raw: DataFrame) -> DataFrame:
     return raw.where("algo <> 'rrf'").unionByName(fused.select(*raw.columns))
 
 
-def _proximity(rows: DataFrame) -> DataFrame:
-    """near: how densely pairs of typed words stand in the document's fields, as a factor from 1 on."""
-    typed = rows.where(F.col("orig") & F.col("algo").isin(*NEAR) & (F.col("prox") > 0) & (F.col("dl") >= 2))
-    per_field = typed.groupBy("query_id", "doc_id", "field").agg(F.collect_list("freq").alias("f"), F.first("dl").alias("dl"), F.first("weight").alias("w"), F.first("prox").alias("prox"))
-    n = F.size("f")
-    pair = lambda x, y: F.col("w") / (1 + F.col("dl") / (x + y))
-    with_later = lambda x, i: F.aggregate(F.slice("f", i + 2, n), F.lit(0.0), lambda s, y: s + pair(x, y))
-    sums = per_field.where(n >= 2).withColumn("s", F.aggregate(F.transform("f", with_later), F.lit(0.0), lambda s, v: s + v)).withColumn("k", n * (n - 1) / 2)
-    docs = sums.groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.first("prox").alias("prox"))
-    return docs.select("query_id", "doc_id", (1 + F.col("prox") * F.least(F.lit(1.0), F.col("s") / F.col("k"))).alias("near"))
-
-
-def _title(rows: DataFrame) -> DataFrame:
-    """slots: how many typed words, in any form, the title has."""
-    return rows.where("slot > 0").groupBy("query_id", "doc_id").agg(F.bit_count(F.bit_or("slot")).alias("slots"))
-
-
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}']+")
 
 
@@ -406,18 +409,15 @@ def mark_snippet(opening: str | None, terms: Iterable[str], normalize, length: i
     return "".join(out) + html.escape(shown[at:], quote=True) + ("…" if len(opening) > length else "")
 
 
-def present(index: Index, page: DataFrame, matched: DataFrame) -> DataFrame:
-    """Titles, matched terms by field and marked openings, for the page's documents only."""
-    own = matched.join(page.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    by_field = own.groupBy("query_id", "doc_id", "field").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    matches = by_field.groupBy("query_id", "doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "terms")))).alias("matches"))
+def present(index: Index, page: DataFrame, length: int) -> DataFrame:
+    """Titles and marked openings, for the page's documents only."""
     docs = index.table("documents").select("doc_id", "title", "opening")
-    shown = page.join(docs, "doc_id", "left").join(matches, ["query_id", "doc_id"], "left")
+    shown = page.join(docs, "doc_id", "left")
     normalize = normalizer(index.folded)
 
     @F.pandas_udf("string")
-    def snippet(opening: pd.Series, terms: pd.Series, length: pd.Series) -> pd.Series:
-        return pd.Series([mark_snippet(o, t if t is not None else (), normalize, n) for o, t, n in zip(opening, terms, length)])
+    def snippet(opening: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([mark_snippet(o, t if t is not None else (), normalize, length) for o, t in zip(opening, terms)], dtype=object)
 
-    words = F.flatten(F.map_values(F.coalesce("matches", F.create_map().cast("map<string,array<string>>"))))
-    return shown.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"), F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), "matches", snippet("opening", words, "snippet").alias("snippet"))
+    words = F.flatten(F.map_values("matches"))
+    return shown.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"), F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), "field_scores", "matches", snippet("opening", words).alias("snippet"))
