@@ -136,69 +136,80 @@ def _encode(index_of):
     return run
 
 
-def _vectors(b: pa.RecordBatch, places: np.ndarray, signs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Unit vectors of the documents of a batch: weighted terms at hashed places with hashed signs."""
+def _vectors(b: pa.RecordBatch, places: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of a batch's documents as (row, place, value): weighted terms at hashed places, with hashed signs."""
     terms = b.column("terms")
     offsets = terms.offsets.to_numpy()
     t = terms.values.to_numpy()[offsets[0] : offsets[-1]]
     c = b.column("counts").values.to_numpy()[offsets[0] : offsets[-1]]
     row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-    flat = np.bincount(row * DIMENSIONS + places[t], np.log1p(c) * weight[t] * signs[t], b.num_rows * DIMENSIONS)
-    x = flat.reshape(b.num_rows, DIMENSIONS).astype(np.float32)
-    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+    value = np.log1p(c) * factors[t]
+    says = value != 0
+    row, place, value = row[says], places[t[says]], value[says]
+    norm = np.sqrt(np.bincount(row, value * value, b.num_rows))
+    return row, place, value / norm[row]
 
 
 class Tree:
-    """Bisecting k-means: node k has the children 2k and 2k + 1; centres of the children of nodes that were split."""
+    """Bisecting k-means: node k has the children 2k and 2k + 1; for each node that was split, the vector on whose side a document is right."""
 
     def __init__(self):
-        self.split: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def nodes(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector."""
-        at = np.ones(len(x), np.int64)
-        for _ in range(DEPTH):
-            for k in np.unique(at):
-                if k in self.split:
-                    rows = np.flatnonzero(at == k)
-                    left, right = self.split[k]
-                    at[rows] = 2 * k + (x[rows] @ right > x[rows] @ left)
-        return at
+        self.split: dict[int, np.ndarray] = {}
+
+    def nodes(self, n: int, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The leaf of each of n vectors."""
+        at = np.ones(n, np.int64)
+        open_ = np.ones(n, bool)
+        while True:
+            known = {k: i for i, k in enumerate(k for k in np.unique(at[open_]).tolist() if k in self.split)}
+            if not known:
+                return at
+            which = np.full(at.max() + 1, -1)
+            which[list(known)] = list(known.values())
+            side = _dots(n, row, place, value, np.stack([self.split[k] for k in known]), which[at])
+            open_ = which[at] >= 0
+            at = np.where(open_, 2 * at + (side > 0), at)
+
+
+def _dots(n: int, row: np.ndarray, place: np.ndarray, value: np.ndarray, vectors: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Product of each row with the vector that it is for; rows for none (-1) get 0."""
+    of = which[row]
+    own = of >= 0
+    return np.bincount(row[own], value[own] * vectors[of[own], place[own]], n)
 
 
 def _sums(tree_of, hashed_of, directions_of):
-    """For each node: rows, sums of its vectors and, where there are directions, of the vectors times their place along it or of those on either side."""
+    """For each node: rows and sums of its vectors; along a direction (power) each times its place along it, else on either side of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, hashed, (kind, directions) = tree_of.value, hashed_of.value, directions_of.value
-        totals: dict[tuple[int, int], list] = {}
+        keys = sorted(directions) if kind != "all" else [1]
+        vectors = np.stack([directions[k] for k in keys]) if kind != "all" else None
+        number = np.zeros((len(keys), 2), np.int64)
+        scale = np.zeros((len(keys), 2))
+        total = np.zeros((len(keys), 2, DIMENSIONS))
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for i in range(0, b.num_rows, 5000):
+                part = b.slice(i, 5000)
+                n = part.num_rows
                 x = _vectors(part, *hashed)
-                at = tree.nodes(x)
-                for k in np.unique(at):
-                    own = x[at == k]
-                    if kind == "all":
-                        pieces = [(0, len(own), own.sum(0))]
-                    elif k not in directions:
-                        continue
-                    elif kind == "power":
-                        centre, d = directions[k]
-                        away = own - centre
-                        pieces = [(0, len(own), away.T @ (away @ d))]
-                    else:
-                        left, right = directions[k]
-                        side = own @ right > own @ left
-                        pieces = [(0, int((~side).sum()), own[~side].sum(0)), (1, int(side.sum()), own[side].sum(0))]
-                    for s, n, v in pieces:
-                        if n:
-                            t = totals.setdefault((int(k), s), [0, np.zeros(DIMENSIONS)])
-                            t[0] += n
-                            t[1] += v
-        if totals:
-            keys = list(totals)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([s for _, s in keys], pa.int32()), pa.array([totals[k][0] for k in keys], pa.int64()), pa.array([totals[k][1].astype(np.float32).tobytes() for k in keys], pa.binary())], names=["node", "side", "n", "v"])
+                at = tree.nodes(n, *x)
+                which = np.full(max(keys[-1], at.max()) + 1, -1)
+                which[keys] = np.arange(len(keys))
+                node = which[at]
+                along = _dots(n, *x, vectors, node) if kind != "all" else np.zeros(n)
+                side = ((along > 0) if kind == "sides" else np.zeros(n)).astype(np.int64)
+                cell = np.where(node >= 0, 2 * node + side, -1)
+                number += np.bincount(cell[cell >= 0], minlength=number.size).reshape(number.shape)
+                scale += np.bincount(cell[cell >= 0], along[cell >= 0], scale.size).reshape(scale.shape)
+                row, place, value = x
+                own = cell[row] >= 0
+                factor = along[row[own]] if kind == "power" else 1.0
+                total += np.bincount(cell[row[own]] * DIMENSIONS + place[own], value[own] * factor, total.size).reshape(total.shape)
+        found = [(k, s) for i, k in enumerate(keys) for s in (0, 1) if number[i, s]]
+        if found:
+            at = [(keys.index(k), s) for k, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int32()), pa.array([number[c] for c in at], pa.int64()), pa.array([scale[c] for c in at], pa.float64()), pa.array([total[c].astype(np.float32).tobytes() for c in at], pa.binary())], names=["node", "side", "n", "scale", "v"])
 
     return run
 
@@ -215,40 +226,42 @@ def bisect(encoded: DataFrame, hashed: tuple, least: int, seed: int = 1) -> Tree
     hashed_of = sc.broadcast(hashed)
     vectors = encoded.select("terms", "counts")
 
-    def sums(kind: str, directions: dict) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    def sums(kind: str, directions: dict) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
         sent = [sc.broadcast(tree), sc.broadcast((kind, directions))]
-        rows = vectors.mapInArrow(_sums(sent[0], hashed_of, sent[1]), "node long, side int, n long, v binary").collect()
+        rows = vectors.mapInArrow(_sums(sent[0], hashed_of, sent[1]), "node long, side int, n long, scale double, v binary").collect()
         for x in sent:
             x.unpersist()
         out: dict[tuple[int, int], list] = {}
         for r in rows:
-            t = out.setdefault((r["node"], r["side"]), [0, np.zeros(DIMENSIONS)])
+            t = out.setdefault((r["node"], r["side"]), [0, 0.0, np.zeros(DIMENSIONS)])
             t[0] += r["n"]
-            t[1] += np.frombuffer(r["v"], np.float32)
-        return {k: (n, v) for k, (n, v) in out.items()}
+            t[1] += r["scale"]
+            t[2] += np.frombuffer(r["v"], np.float32)
+        return {k: tuple(v) for k, v in out.items()}
 
-    unit = lambda v: (v / (np.linalg.norm(v) + 1e-12)).astype(np.float32)
-    open_ = {k: v for (k, _), v in sums("all", {}).items()}
+    unit = lambda v: v / (np.linalg.norm(v) + 1e-12)
+    open_ = {k: (n, v) for (k, _), (n, _, v) in sums("all", {}).items()}
     for _ in range(DEPTH):
         open_ = {k: v for k, v in open_.items() if v[0] >= 2 * least}
         if not open_:
             break
-        centres = {k: (v / n).astype(np.float32) for k, (n, v) in open_.items()}
-        directions = {k: (c, unit(rng.standard_normal(DIMENSIONS))) for k, c in centres.items()}
+        centres = {k: v / n for k, (n, v) in open_.items()}
+        directions = {k: unit(rng.standard_normal(DIMENSIONS)) for k in centres}
         for _ in range(POWER_PASSES):
+            # (x - c) summed with its place along d as weight: the centre's own place cancels
             found = sums("power", directions)
-            directions = {k: (c, unit(found[k, 0][1]) if (k, 0) in found else d) for k, (c, d) in directions.items()}
-        pairs = {k: (unit(c - 0.1 * d), unit(c + 0.1 * d)) for k, (c, d) in directions.items()}
+            spread = {k: found[k, 0][2] - found[k, 0][1] * centres[k] for k in directions if (k, 0) in found}
+            directions = {k: unit(spread.get(k, d)) for k, d in directions.items()}
+        splits = {k: unit(centres[k] + 0.1 * d) - unit(centres[k] - 0.1 * d) for k, d in directions.items()}
         for _ in range(MEAN_PASSES):
-            found = sums("sides", pairs)
-            pairs = {k: tuple(unit(found[k, s][1]) if (k, s) in found else old for s, old in enumerate(p)) for k, p in pairs.items()}
-        found = sums("sides", pairs)
-        nxt = {}
-        for k, p in pairs.items():
-            if min(found.get((k, s), (0, None))[0] for s in (0, 1)) >= min(least, 5):
-                tree.split[k] = p
-                nxt |= {2 * k + s: found[k, s] for s in (0, 1)}
-        open_ = nxt
+            found = sums("sides", splits)
+            splits = {k: unit(found[k, 1][2]) - unit(found[k, 0][2]) if (k, 0) in found and (k, 1) in found else s for k, s in splits.items()}
+        found = sums("sides", splits)
+        open_ = {}
+        for k, split in splits.items():
+            if all((k, s) in found and found[k, s][0] >= min(least, 5) for s in (0, 1)):
+                tree.split[k] = split
+                open_ |= {2 * k + s: (found[k, s][0], found[k, s][2]) for s in (0, 1)}
     hashed_of.unpersist()
     return tree
 
@@ -258,7 +271,7 @@ def _leaves(tree_of, hashed_of):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tree_of.value.nodes(_vectors(part, *hashed_of.value))), part.column("terms")], names=["id", "leaf", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tree_of.value.nodes(part.num_rows, *_vectors(part, *hashed_of.value))), part.column("terms")], names=["id", "leaf", "terms"])
 
     return run
 
@@ -277,7 +290,7 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects:
     sc = spark.sparkContext
     size, k = len(vocabulary.words), len(subjects)
     rng = np.random.default_rng(7)
-    hashed = (rng.integers(0, DIMENSIONS, size), rng.choice([-1.0, 1.0], size), vocabulary.weight**2)
+    hashed = (rng.integers(0, DIMENSIONS, size), rng.choice([-1.0, 1.0], size) * vocabulary.weight**2)
     tree = bisect(encoded, hashed, max(10, n_docs // 1000))
     sent = sc.broadcast(tree), sc.broadcast(hashed)
     number = {s: i for i, s in enumerate(subjects)}
