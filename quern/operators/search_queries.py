@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.words import osa_column
-from quern.plans.expand import fuzzy_candidates
+from quern.plans.expand import begin, fuzzy_candidates
 from quern.plans.index import Index
 from quern.plans.oracle import INDEX, Search, Term, search_sql
 from quern.plans.query import Profile
@@ -182,6 +182,53 @@ def _plans(queries: list[str], **options) -> Callable[[SparkSession, str], DataF
 QUERIES["auto_route"] = _plans(["how does gravity work", "guitar", "orch*", "guitar notary", "guiatr notary", "xqzzt guitar"], algo="auto", confidence=85)
 QUERIES["morph_expand"] = _plans(["conduct player", "+sing"], stemming=True)
 
+
+def context_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """How far other words of a query vouch for each of its words."""
+    s = Searcher(document_index(spark, folder))
+    options, profile = s._split({"fields": WEIGHTS})
+    plans = [begin(s.index, i, q, options, profile) for i, q in enumerate(("guitar orchestra melody", "judge felony", "parser xqzzt"))]
+    got = s._vouch(options)([(p, t) for p in plans for t in p.typed])
+    return spark.createDataFrame([(q, w, round(x, 6)) for (q, w), x in got.items()], "query_id long, word string, ratio double")
+
+
+QUERIES["context_ratio"] = context_ratio
+SQL["context_ratio"] = f"""with {INDEX}, q(query_id, word) as (values (0, 'guitar'), (0, 'orchestra'), (0, 'melody'), (1, 'judge'), (1, 'felony'), (2, 'parser'), (2, 'xqzzt')),
+own as (select q.*, field, doc_id from q join post on term = word)
+select o.query_id, o.word, round(avg(case when exists (select 1 from q x join post p on p.term = x.word where x.query_id = o.query_id and x.word <> o.word and p.field = o.field and p.doc_id = o.doc_id) then 1.0 else 0.0 end), 6) as ratio from own o group by all"""
+
+
+def noise_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms that each cut drops, for words next to the limits."""
+    r = Searcher(document_index(spark, folder)).search_batch(["the and libretto", "one two orchestra", "page"], fields=WEIGHTS)
+    rows = [(p.query_id, f, t) for p in r.plans for f, ts in p.diag.get("dropped", {}).items() for t in ts]
+    return spark.createDataFrame(rows, "query_id long, field string, term string")
+
+
+QUERIES["noise_cut"] = noise_cut
+SQL["noise_cut"] = f"""with {INDEX}, q(query_id, term) as (values (0, 'the'), (0, 'and'), (0, 'libretto'), (1, 'one'), (1, 'two'), (1, 'orchestra'), (2, 'page'))
+select query_id, ts.field, q.term from q join ts on ts.term = q.term join fst on fst.field = ts.field where n >= 100 and df > floor(n * 0.25)"""
+
+
+def sample_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten titles drawn at random, the same each time."""
+    docs = document_index(spark, folder).table("documents").where("trim(title) <> ''")
+    return docs.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-7"))), "doc_id").limit(10).select("doc_id", "title")
+
+
+QUERIES["sample_titles"] = sample_titles
+SQL["sample_titles"] = "select doc_id, title from documents where trim(title) <> '' order by md5(doc_id::varchar || '-7'), doc_id limit 10"
+
+
+def field_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """What each field of the first page contributes."""
+    hits = Searcher(document_index(spark, folder)).search("microscope scoreboard libretto", algo="cover", fields=WEIGHTS).hits
+    return hits.select("doc_id", F.explode("field_scores").alias("field", "score")).withColumn("score", F.round("score", 3))
+
+
+QUERIES["field_scores"] = field_scores
+SQL["field_scores"] = search_sql(Search("cover", _three(), slots=3), f"select f.doc_id, d.field, round(100 * held / total, 3) as score from (select *, row_number() over (order by score desc, title_len nulls last, doc_id) as rank from final) f join fld d on d.doc_id = f.doc_id join tot on tot.field = d.field where rank <= 20")
+
 # Pages
 _LIBRETTO = Search("bm25", _three(), slots=3)
 
