@@ -74,13 +74,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_group(read_live(spark, folder), ["field", "term"], "freq", "doc_id", 3).select("field", "term", "doc_id")
 
 
-def p5_queries(spark: SparkSession, folder: str) -> DataFrame:
+def p5_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """The commonest queries with estimated and exact counts."""
     log = table(spark, folder, "search_log").where("page = 1 and id is not null").select("id", text.phrase("query").alias("query"))
     found = heavy_hitters(log.where("query <> ''"), "query", 0.005, once_by="id")
     return found.withColumnRenamed("value", "query")
 
 
+def p5_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_estimates(spark, folder).select("query", "count", "total")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_queries(spark, folder).select("query")
 
@@ -120,7 +124,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_subjects(spark, folder).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p6_found": p6_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p5_estimates": p5_estimates, "p6_found": p6_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),
@@ -154,6 +158,9 @@ deg as (select a.doc_id, a.a as term, coalesce(any_value(k), 0) as weight from p
 df as (select term, count(*) as doc_freq from deg group by term)
 select doc_id, d.term, weight, doc_freq, round(weight * ln(((select count(*) from indexed) + 0.5) / (doc_freq + 0.5) + 1), 6) as score from deg d join df on d.term = df.term""",
     "p6_found": f"with {SQL_LIVE} select field, term, doc_id from live qualify row_number() over (partition by field, term order by freq desc, doc_id) <= 3",
+    "p5_queries": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
+counted as (select query, count(*) as n from once where query <> '' group by query)
+select query, n as count, (select sum(n) from counted)::bigint as total from counted where n >= 0.005 * (select sum(n) from counted)""",
     "p5_found": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
 counted as (select query, count(*) as n from once where query <> '' group by query)
 select query from counted where n >= 0.005 * (select sum(n) from counted)""",

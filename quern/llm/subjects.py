@@ -297,21 +297,21 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects:
     with Scratch(spark, "subject-leaves") as scratch:
         kind = dict(encoded.dtypes)["id"]
         leaf = scratch.write(encoded.select("id", "terms", "counts").mapInArrow(_leaves(*sent), f"id {kind}, leaf long, terms array<int>"))
-        by_leaf = leaf.select("leaf", F.explode("terms").alias("t")).groupBy("leaf", "t").count().toPandas()  # at most 2^DEPTH x terms
+        by_leaf = leaf.select("leaf", F.explode("terms").alias("t")).groupBy("leaf", "t").count().toArrow()  # at most 2^DEPTH x terms
         in_leaf = {r["leaf"]: r["count"] for r in leaf.groupBy("leaf").count().collect()}
         some = labels.where(F.col("subject").isin(subjects)).distinct().orderBy(F.xxhash64("id"), "id", "subject").limit(label_rows)
         share = some.join(some.groupBy("id").agg(F.count("*").alias("of")), "id").select("id", "subject", (1.0 / F.col("of")).alias("share"))
         labelled = scratch.write(leaf.join(share, "id"))
-        by_subject = labelled.select("subject", "share", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.sum("share").alias("n")).toPandas()
+        by_subject = labelled.select("subject", "share", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.sum("share").alias("n")).toArrow()
         subject_of_leaf = labelled.groupBy("leaf", "subject").agg(F.sum("share").alias("n")).collect()
         of_subject = {r["subject"]: r["n"] for r in labelled.groupBy("subject").agg(F.sum("share").alias("n")).collect()}
     leaves = sorted(in_leaf)
     row = {v: i for i, v in enumerate(leaves)}
     n_leaf = np.zeros((len(leaves), size))
-    n_leaf[by_leaf["leaf"].map(row).to_numpy(int), by_leaf["t"].to_numpy(int)] = by_leaf["count"].to_numpy(float)
+    n_leaf[[row[v] for v in by_leaf["leaf"].to_pylist()], by_leaf["t"].to_numpy()] = by_leaf["count"].to_numpy()
     docs = np.array([in_leaf[v] for v in leaves], float)
     n_label = np.zeros((k, size))
-    n_label[by_subject["subject"].map(number).to_numpy(int), by_subject["t"].to_numpy(int)] = by_subject["n"].to_numpy(float)
+    n_label[[number[v] for v in by_subject["subject"].to_pylist()], by_subject["t"].to_numpy()] = by_subject["n"].to_numpy()
     labels_of = np.array([of_subject.get(s, 0.0) for s in subjects])
     prior = (labels_of + 1) / (labels_of.sum() + k)
     votes = vocabulary.weight > 0
