@@ -54,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "termstats_idf": lambda spark, folder: document_index(spark, folder).table("termstats").select("field", "term", "doc_freq", F.round("idf", 6).alias("idf")),
     "vocabulary": _table("vocabulary", "term", "len", "fc"),
     "index_stats": lambda spark, folder: document_index(spark, folder).get_stats(),
+    "frequent_words": lambda spark, folder: document_index(spark, folder).frequent_words(),
 }
 SQL: dict[str, str] = {
     "tok_terms": f"select doc_id, len({text.sql_tokens('text', False)}) as plain, len({text.sql_tokens('text')}) as folded from documents",
@@ -64,6 +65,7 @@ SQL: dict[str, str] = {
     "field_stats": f"with {INDEX} select field, count(*) filter (len > 0) as total_docs, sum(len)::bigint as total_length from lens group by field",
     "termstats_idf": f"with {INDEX} select field, term, df as doc_freq, round(idf, 6) as idf from ts",
     "vocabulary": f"with {INDEX} select distinct term, length(term) as len, left(term, 1) as fc from ts",
+    "frequent_words": f"with {INDEX} select distinct ts.term from ts join fst on ts.field = fst.field where df > 0.3 * n",
     "index_stats": f"with {INDEX} select field, any_value(docs) as docs, any_value(tokens) as tokens, count(distinct term) as terms, count(*) as postings from post join (select field, count(*) filter (len > 0) as docs, sum(len)::bigint as tokens from lens group by field) using (field) group by field",
 }
 

@@ -136,6 +136,12 @@ class Index:
     def get_term_list(self, field: str) -> DataFrame:
         return self.table("termstats").where(F.col("field") == field).select("term").orderBy("term")
 
+    def frequent_words(self, share: float = 0.3) -> DataFrame:
+        """term: words in more than that share of a field's documents, as a stopword list of the corpus itself."""
+        totals = self.table("field_stats").select("field", "total_docs")
+        often = self.table("termstats").join(F.broadcast(totals), "field").where(F.col("doc_freq") > share * F.col("total_docs"))
+        return often.select("term").distinct()
+
     def get_stats(self) -> DataFrame:
         """field, postings, terms, docs, tokens."""
         p = self.table("termstats").groupBy("field").agg(F.sum("doc_freq").alias("postings"), F.count("*").alias("terms"))

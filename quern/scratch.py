@@ -22,7 +22,8 @@ def root(spark: SparkSession) -> str:
     """URI of the shared folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if "dir" not in _own_root:
         _own_root["dir"] = "file://" + tempfile.mkdtemp(prefix="quern-")
     return _own_root["dir"]

@@ -33,7 +33,8 @@ def test_forms(spark):
 
 
 def test_roots():
-    assert root_words(["wolves", "running", "stories", "cats", "mice", "sing"]) == ["wolves", "running", "stories", "cats", "mice", "sing", "wolf", "wolfe", "runn", "runne", "run", "story", "cat", "mouse"]
+    assert root_words(["wolves", "running", "stories", "tables", "mice", "cats", "sing"])[7:] == ["wolf", "wolfe", "runn", "runne", "run", "story", "table", "tabl", "mouse"]
+    assert "run" in root_words(["running"])
     assert root_words(["cat"]) == ["cat"]
     assert "happy" in risky_roots("happily") and risky_roots("cat") == []
     assert "making" in morph_forms("make") and "running" in morph_forms("run") and morph_forms("ab") == []
