@@ -89,10 +89,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_queries(spark, folder).select("query")
 
 
+def _few(df: DataFrame, most: int = 10_000) -> list:
+    """Rows of a table of settings, which must be small."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of settings")
+    return rows
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every text, in every packing task, with its bin."""
     sizes = table(spark, folder, "documents").select("doc_id", token_count("text").alias("tokens"))
-    tasks = [(r["pack_id"], r["capacity"]) for r in table(spark, folder, "pack_sizes").orderBy("pack_id").limit(1000).collect()]
+    tasks = [(r["pack_id"], r["capacity"]) for r in _few(table(spark, folder, "pack_sizes").orderBy("pack_id"))]
     return pack(sizes, "doc_id", "tokens", tasks)
 
 
@@ -115,7 +123,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects of all documents, with the share of sentences about each."""
-    subjects = [r["subject"] for r in table(spark, folder, "subjects").orderBy("subject").limit(10_000).collect()]
+    subjects = [r["subject"] for r in _few(table(spark, folder, "subjects").orderBy("subject"))]
     return document_subjects(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "subject_labels"), subjects)
 
 
