@@ -174,9 +174,14 @@ def mix_sources(records: DataFrame, record: str, source: str, size: str, targets
 def reached_shares(mixture: DataFrame, source: str, size: str, targets: list[tuple[str, float, int]]) -> DataFrame:
     """source, target_share, max_repeats, available_tokens, records, mixed_tokens, reached_share, most_copies: a row for each target."""
     spark = mixture.sparkSession
-    asked = spark.createDataFrame(targets, "s string, target_share double, max_repeats int")
-    sums = mixture.where("copies is not null").groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("available_tokens"), F.sum("copies").alias("records"), F.sum(F.col(size) * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-    got = sums.join(F.broadcast(asked), "s", "right").fillna(0, ["available_tokens", "records", "mixed_tokens", "most_copies"])
-    whole = got.agg(F.sum("mixed_tokens").alias("whole"))
-    out = got.join(F.broadcast(whole)).withColumn("reached_share", F.coalesce(F.try_divide(F.col("mixed_tokens"), F.col("whole")), F.lit(0.0)))
-    return out.select(F.col("s").alias(source), "target_share", "max_repeats", "available_tokens", "records", "mixed_tokens", "reached_share", "most_copies")
+    schema = f"`{source}` string, target_share double, max_repeats int, available_tokens long, records long, mixed_tokens long, reached_share double, most_copies int"
+    asked = F.broadcast(spark.createDataFrame([(s,) for s, _, _ in targets], "s string"))
+    own = mixture.select(F.col(source).alias("s"), F.col(size).alias("n"), "copies").join(asked, "s", "left_semi")
+    sums = own.groupBy("s").agg(F.sum("n").alias("n"), F.sum("copies").alias("k"), F.sum(F.col("n") * F.col("copies")).alias("mixed"), F.max("copies").alias("most")).collect()  # at most one row for each target
+    got = {r["s"]: (r["n"], r["k"], r["mixed"], r["most"]) for r in sums}
+    whole = sum(m for _, _, m, _ in got.values())
+    rows = []
+    for s, share, repeats in targets:
+        n, k, mixed, most = got.get(s, (0, 0, 0, 0))
+        rows.append((s, share, repeats, n, k, mixed, mixed / whole if whole else 0.0, most))
+    return spark.createDataFrame(rows, schema)
