@@ -25,7 +25,6 @@ DEPTH = 8
 DIMENSIONS = 1024
 POWER_PASSES, MEAN_PASSES = 2, 3
 LEAST_SHARE = 5e-4
-FRAME_SHARE = 0.2
 LABEL_ROWS = 200_000
 LABEL_TRUST = 5.0
 LEAST_EVIDENCE = 1.2
@@ -70,26 +69,29 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     words: list[str]
     index: dict[str, int]
-    weight: np.ndarray  # 0 for words that every text of a language may have
+    weight: np.ndarray  # near 0 for words that every text of a language may have
     docs: np.ndarray
+    langs: list[str]
+    shares: np.ndarray  # language x word: the part of the language's texts that have it; one row for all texts if no language is large
+    home: np.ndarray  # the row of shares in which a word is commonest
 
 
-def read_vocabulary(read: DataFrame, n_docs: int, n_subjects: int) -> Vocabulary:
-    """Words of at least LEAST_SHARE of the documents, 5 at least: at most the mean number of distinct words / LEAST_SHARE.
+def read_vocabulary(texts: DataFrame, n_texts: int) -> Vocabulary:
+    """Words of at least LEAST_SHARE of the distinct texts, 5 at least: at most the mean number of distinct words / LEAST_SHARE.
 
-    A word's weight is the logarithm of its rarity in the language in which it is commonest; words of over FRAME_SHARE
-    of a language's documents, or twice an even share of the subjects, frame any text and have none. Languages are the groups of lang with over 1 % of the documents.
+    A word's weight is the logarithm of its rarity in the language in which it is commonest. Languages are the groups of lang with over 1 % of the texts.
     """
-    groups = [r["lang"] for r in read.groupBy("lang").count().where(F.col("count") >= max(50, 0.01 * n_docs)).collect()]
-    sizes = {r["lang"]: r["count"] for r in read.where(F.col("lang").isin(groups)).groupBy("lang").count().collect()}
-    rows = read.where("words <> ''").select("lang", F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(groups)))
-    kept = sorted(rows.where(F.col("n") >= max(5, LEAST_SHARE * n_docs)).collect(), key=lambda r: r["w"])
-    weight = np.array([min([np.log((sizes[g] + 1) / (r[f"n{i}"] + 1)) for i, g in enumerate(groups)] or [np.log((n_docs + 1) / (r["n"] + 1))]) for r in kept])
-    weight[weight < np.log(1 / min(1.0, max(FRAME_SHARE, 2 / n_subjects)))] = 0
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().where(F.col("count") >= max(50, 0.01 * n_texts)).collect()}
+    langs = sorted(sizes)
+    rows = texts.select("lang", F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(langs)))
+    kept = sorted(rows.where(F.col("n") >= max(5, LEAST_SHARE * n_texts)).collect(), key=lambda r: r["w"])
+    docs = np.array([r["n"] for r in kept], float)
+    found = np.array([[r[f"n{i}"] for r in kept] for i in range(len(langs))] or [docs], float)
+    shares = (found + 1) / (np.array([sizes[g] for g in langs] or [n_texts], float)[:, None] + 1)
     # rarer still says no more: such words are names
-    weight = np.minimum(weight, np.log(100.0))
+    weight = np.minimum(np.log(1 / np.minimum(shares.max(0), 1.0)), np.log(100.0))
     words = [r["w"] for r in kept]
-    return Vocabulary(words, {w: i for i, w in enumerate(words)}, weight, np.array([r["n"] for r in kept], float))
+    return Vocabulary(words, {w: i for i, w in enumerate(words)}, weight, docs, langs, shares, shares.argmax(0))
 
 
 def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
@@ -130,7 +132,7 @@ def _encode(index_of):
                 pairs, counts = np.unique(of_doc[known] * width + term[known], return_counts=True)
                 n = np.bincount(pairs // width, minlength=len(per_doc)) if len(pairs) else np.zeros(len(per_doc), int)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), outer, _lists(n, pa.array((pairs % width).astype(np.int32))), _lists(n, pa.array(counts.astype(np.int32)))], names=["id", "said", "terms", "counts"]
+                    [part.column("id"), part.column("key"), part.column("lang"), outer, _lists(n, pa.array((pairs % width).astype(np.int32))), _lists(n, pa.array(counts.astype(np.int32)))], names=["id", "key", "lang", "said", "terms", "counts"]
                 )
 
     return run
@@ -271,7 +273,7 @@ def _leaves(tree_of, hashed_of):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tree_of.value.nodes(part.num_rows, *_vectors(part, *hashed_of.value))), part.column("terms")], names=["id", "leaf", "terms"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "key", "lang")), pa.array(tree_of.value.nodes(part.num_rows, *_vectors(part, *hashed_of.value))), part.column("terms")], names=["id", "key", "lang", "leaf", "terms"])
 
     return run
 
@@ -285,7 +287,10 @@ class SubjectModel:
 
 
 def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects: list[str], n_docs: int, label_rows: int = LABEL_ROWS) -> SubjectModel:
-    """Tree, leaf labels and the terms' subjects. labels: id, subject; of more than label_rows those with the smallest hash are used."""
+    """Tree, leaf labels and the terms' subjects. labels: id, subject; of more than label_rows those with the smallest hash are used.
+
+    The tree is that of all documents; leaves and labels are counted over distinct texts, so copies don't make a term speak for the subject of one text.
+    """
     spark = encoded.sparkSession
     sc = spark.sparkContext
     size, k = len(vocabulary.words), len(subjects)
@@ -296,15 +301,19 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects:
     number = {s: i for i, s in enumerate(subjects)}
     with Scratch(spark, "subject-leaves") as scratch:
         kind = dict(encoded.dtypes)["id"]
-        leaf = scratch.write(encoded.select("id", "terms", "counts").mapInArrow(_leaves(*sent), f"id {kind}, leaf long, terms array<int>"))
-        by_leaf = leaf.select("leaf", F.explode("terms").alias("t")).groupBy("leaf", "t").count().toArrow()  # at most 2^DEPTH x terms
-        in_leaf = {r["leaf"]: r["count"] for r in leaf.groupBy("leaf").count().collect()}
+        leaf = scratch.write(encoded.select("id", "key", "lang", "terms", "counts").mapInArrow(_leaves(*sent), f"id {kind}, key string, lang string, leaf long, terms array<int>"))
+        once = scratch.write(leaf.groupBy("key").agg(F.mode("lang", True).alias("lang"), F.first("leaf").alias("leaf"), F.first("terms").alias("terms")))
+        by_leaf = once.select("leaf", F.explode("terms").alias("t")).groupBy("leaf", "t").count().toArrow()  # at most 2^DEPTH x terms
+        in_leaf = {r["leaf"]: r["count"] for r in once.groupBy("leaf").count().collect()}
+        lang_of_leaf = once.where(F.col("lang").isin(vocabulary.langs)).groupBy("leaf", "lang").count().collect()
         some = labels.where(F.col("subject").isin(subjects)).distinct().orderBy(F.xxhash64("id"), "id", "subject").limit(label_rows)
-        share = some.join(some.groupBy("id").agg(F.count("*").alias("of")), "id").select("id", "subject", (1.0 / F.col("of")).alias("share"))
-        labelled = scratch.write(leaf.join(share, "id"))
+        known = leaf.select("id", "key").join(some, "id").select("key", "subject").distinct()
+        share = known.join(known.groupBy("key").agg(F.count("*").alias("of")), "key").select("key", "subject", (1.0 / F.col("of")).alias("share"))
+        labelled = scratch.write(once.join(share, "key"))
         by_subject = labelled.select("subject", "share", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.sum("share").alias("n")).toArrow()
         subject_of_leaf = labelled.groupBy("leaf", "subject").agg(F.sum("share").alias("n")).collect()
         of_subject = {r["subject"]: r["n"] for r in labelled.groupBy("subject").agg(F.sum("share").alias("n")).collect()}
+        subject_of_lang = labelled.groupBy("lang", "subject").agg(F.sum("share").alias("n")).collect()
     leaves = sorted(in_leaf)
     row = {v: i for i, v in enumerate(leaves)}
     n_leaf = np.zeros((len(leaves), size))
@@ -314,29 +323,45 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects:
     n_label[[number[v] for v in by_subject["subject"].to_pylist()], by_subject["t"].to_numpy()] = by_subject["n"].to_numpy()
     labels_of = np.array([of_subject.get(s, 0.0) for s in subjects])
     prior = (labels_of + 1) / (labels_of.sum() + k)
-    votes = vocabulary.weight > 0
+    tongue = {g: i for i, g in enumerate(vocabulary.langs)}
+    in_lang = np.zeros((len(leaves), len(vocabulary.shares)))
+    for r in lang_of_leaf:
+        in_lang[row[r["leaf"]], tongue[r["lang"]]] = r["count"]
+    if not tongue:
+        in_lang[:, 0] = docs
+    label_lang = np.zeros((k, len(vocabulary.shares)))
+    for r in subject_of_lang:
+        if r["lang"] in tongue or not tongue:
+            label_lang[number[r["subject"]], tongue.get(r["lang"], 0)] += r["n"]
     # what labelled documents say of a term, and with it what a leaf's discriminative terms say of the leaf
     base = (n_label.sum(0) + 0.5) / (labels_of.sum() + 1)
     says = np.maximum(np.log((n_label + 2 * base) / (labels_of[:, None] + 2) / base), 0)
     by_label = np.zeros((len(leaves), k))
     for r in subject_of_leaf:
         by_label[row[r["leaf"]], number[r["subject"]]] = r["n"]
-    total, mixture, terms = n_leaf.sum(0), np.zeros((len(leaves), k)), {}
+    mixture, terms = np.zeros((len(leaves), k)), {}
     for i, v in enumerate(leaves):
-        inside, outside = (n_leaf[i] + 0.1) / (docs[i] + 1), (total - n_leaf[i] + 0.1) / (docs.sum() - docs[i] + 1)
-        gain = np.where(votes, inside * np.log(inside / outside), 0)
+        # against the same languages: words that any text of them may have are no commoner in the leaf
+        usual = (in_lang[i] + 1e-6) @ vocabulary.shares / (in_lang[i] + 1e-6).sum()
+        inside = (n_leaf[i] + 0.1) / (docs[i] + 1)
+        gain = inside * np.log(inside / usual)
         top = np.argsort(-gain)[:25]
         terms[v] = [vocabulary.words[j] for j in top if gain[j] > 0]
         named = (says[:, top] @ np.maximum(gain[top], 0)) ** 2
         named = named / named.sum() if named.sum() > 0 else prior
         mixture[i] = (by_label[i] + 2 * named) / (by_label[i].sum() + 2)
-    from_leaves = mixture.T @ n_leaf
-    given = (from_leaves + prior[:, None]) / (from_leaves.sum(0) + 1)
-    given = (LABEL_TRUST * given + n_label) / (LABEL_TRUST + n_label.sum(0))
+
+    def blend(from_leaves: np.ndarray, from_labels: np.ndarray) -> np.ndarray:
+        given = (from_leaves + prior[:, None]) / (from_leaves.sum(0) + 1)
+        return (LABEL_TRUST * given + from_labels) / (LABEL_TRUST + from_labels.sum(0))
+
+    given = blend(mixture.T @ n_leaf, n_label)
     evidence = np.log((given + 0.01) / (prior[:, None] + 0.01)) * (vocabulary.docs / (vocabulary.docs + 5))
-    # a term speaks for a subject only if it closes a quarter of the gap from the subject's share to certainty
-    clear = (given >= prior[:, None] + CLEAR * (1 - prior[:, None])).any(axis=0)
-    evidence[:, ~votes | ~clear] = 0
+    # a term speaks for a subject only if it closes a quarter of the gap to certainty from the subject's share, that of the term's language too:
+    # words that frame any text lie over the subjects as its texts do, however many these are
+    base = np.maximum(prior[:, None], blend(mixture.T @ in_lang, label_lang)[:, vocabulary.home])
+    clear = (given >= base + CLEAR * (1 - base)).any(axis=0)
+    evidence[:, ~clear] = 0
     for x in sent:
         x.unpersist()
     return SubjectModel(subjects, np.clip(evidence, -1, 4), terms, {v: mixture[i] for i, v in enumerate(leaves)})
@@ -383,11 +408,12 @@ def document_subjects(documents: DataFrame, doc: str, whole_text: str, lang: str
     given = documents.select(F.col(doc).alias("id"), F.substring(F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))), 1, 2).alias("lang"), F.col(whole_text).alias("text"))
     known = labels.select(F.col(doc).alias("id"), text.trim(text.fold("subject")).alias("subject"))
     with Scratch(spark, "subjects") as scratch:
-        read = scratch.write(given.mapInArrow(_read, f"id {kind}, lang string, said string, words string"))
+        read = scratch.write(given.mapInArrow(_read, f"id {kind}, lang string, said string, words string").withColumn("key", F.md5("said")))
         n_docs = read.where("words <> ''").count()
-        vocabulary = read_vocabulary(read, n_docs, max(1, len(subjects)))
+        texts = scratch.write(read.where("words <> ''").groupBy("key").agg(F.mode("lang", True).alias("lang"), F.first("words").alias("words")))
+        vocabulary = read_vocabulary(texts, texts.count())
         index_of = spark.sparkContext.broadcast(vocabulary.index)
-        encoded = scratch.write(read.select("id", "said").mapInArrow(_encode(index_of), f"id {kind}, said array<array<int>>, terms array<int>, counts array<int>"), keep=True)
+        encoded = scratch.write(read.select("id", "key", "lang", "said").mapInArrow(_encode(index_of), f"id {kind}, key string, lang string, said array<array<int>>, terms array<int>, counts array<int>"), keep=True)
         if vocabulary.words and not known.isEmpty():
             model = fit(encoded, vocabulary, known, subjects, n_docs)
             model_of = spark.sparkContext.broadcast((model.subjects, model.evidence))

@@ -388,6 +388,25 @@ def test_document_subjects_on_made_texts(spark):
     assert document_subjects(df, "id", "text", "lang", known.limit(0), sorted(words)).count() == 0
 
 
+def made_text(rng, subject):
+    return " ".join(f"The {rng.choice('abcdefgh')}{subject} is near the {rng.choice('abcdefgh')}{subject} with a {rng.choice('abcdefgh')}{subject}." for _ in range(6))
+
+
+@pytest.mark.parametrize("third", ["copies", "subject"])
+def test_document_subjects_where_one_text_or_subject_is_a_third(spark, third):
+    rng = random.Random(11)
+    subjects = [f"{a}olo" for a in "bdfgklmprs"]
+    docs = [(i, made_text(rng, s := subjects[0] if third == "subject" and i % 3 == 0 else rng.choice(subjects)), "en", s) for i in range(400)]
+    if third == "copies":
+        docs += [(1000 + i, docs[1][1], "en", docs[1][3]) for i in range(200)]
+    df = spark.createDataFrame(docs, "id long, text string, lang string, truth string").drop("truth")
+    known = spark.createDataFrame([(i, s) for i, _, _, s in docs if i < 400 and i % 5 == 0], "id long, subject string")
+    got = {}
+    for r in document_subjects(df, "id", "text", "lang", known, subjects).collect():
+        got.setdefault(r["id"], set()).add(r["subject"])
+    assert sum(got.get(i) == {s} for i, _, _, s in docs) / len(docs) >= 0.95
+
+
 def test_queries_run_on_the_smallest_tables(spark, small):
     from quern.llm.queries import QUERIES, SQL
 
