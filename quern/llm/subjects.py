@@ -77,21 +77,33 @@ class Vocabulary:
 
 
 def read_vocabulary(texts: DataFrame, n_texts: int) -> Vocabulary:
-    """Words of at least LEAST_SHARE of the distinct texts, 5 at least: at most the mean number of distinct words / LEAST_SHARE.
+    """Words of at least LEAST_SHARE of the distinct texts, or of those of a language, 5 at least: for all texts and for each language at most its mean number of distinct words / LEAST_SHARE.
 
-    A word's weight is the logarithm of its rarity in the language in which it is commonest. Languages are the groups of lang with over 1 % of the texts.
+    A word's weight is the logarithm of its rarity in the language in which it is commonest. Languages are the groups of lang with at least 50 texts.
     """
-    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().where(F.col("count") >= max(50, 0.01 * n_texts)).collect()}
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().where("count >= 50").collect()}
     langs = sorted(sizes)
-    rows = texts.select("lang", F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("lang") == g).alias(f"n{i}") for i, g in enumerate(langs)))
-    kept = sorted(rows.where(F.col("n") >= max(5, LEAST_SHARE * n_texts)).collect(), key=lambda r: r["w"])
+    tongue = {g: i for i, g in enumerate(langs)}
+    by_lang = texts.select(F.when(F.col("lang").isin(langs), F.col("lang")).alias("lang"), F.explode(F.split("words", " ")).alias("w")).groupBy("w", "lang").agg(F.count("*").alias("n"))
+    least = F.coalesce(*(F.when(F.col("lang") == g, max(5.0, LEAST_SHARE * m)) for g, m in sizes.items()), F.lit(float("inf")))
+    rows = by_lang.groupBy("w").agg(F.sum("n").alias("n"), F.bool_or(F.col("n") >= least).alias("enough"), F.collect_list(F.struct("lang", "n")).alias("of"))
+    kept = sorted(rows.where((F.col("n") >= max(5, LEAST_SHARE * n_texts)) | F.col("enough")).select("w", "n", "of").collect(), key=lambda r: r["w"])
     docs = np.array([r["n"] for r in kept], float)
-    found = np.array([[r[f"n{i}"] for r in kept] for i in range(len(langs))] or [docs], float)
-    shares = (found + 1) / (np.array([sizes[g] for g in langs] or [n_texts], float)[:, None] + 1)
+    found = np.zeros((max(1, len(langs)), len(kept)))
+    if not langs:
+        found[0] = docs
+    for j, r in enumerate(kept):
+        for g, n in r["of"]:
+            if g in tongue:
+                found[tongue[g], j] = n
+    size = np.array([sizes[g] for g in langs] or [n_texts], float)[:, None]
+    shares = (found + 1) / (size + 1)
+    # a few texts of a small group, perhaps wrongly marked, don't make a word common
+    common = np.where(found >= 5, shares, shares.min(0))
     # rarer still says no more: such words are names
-    weight = np.minimum(np.log(1 / np.minimum(shares.max(0), 1.0)), np.log(100.0))
+    weight = np.minimum(np.log(1 / np.minimum(common.max(0), 1.0)), np.log(100.0))
     words = [r["w"] for r in kept]
-    return Vocabulary(words, {w: i for i, w in enumerate(words)}, weight, docs, langs, shares, shares.argmax(0))
+    return Vocabulary(words, {w: i for i, w in enumerate(words)}, weight, docs, langs, shares, common.argmax(0))
 
 
 def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:

@@ -15,7 +15,7 @@ from quern.llm.link_groups import link_groups  # noqa: E402
 from quern.llm.mixing import fly, land, mix_sources, plan_shares, reached_shares, read_targets  # noqa: E402
 from quern.llm.packing import pack, plan_bins  # noqa: E402
 from quern.llm.rank_sketch import RankSketch, merge_sketches, quantiles, relative_error, sketches  # noqa: E402
-from quern.llm.subjects import document_subjects, sentences  # noqa: E402
+from quern.llm.subjects import document_subjects, read_vocabulary, sentences  # noqa: E402
 from quern.llm.term_frequencies import mark_terms, term_frequencies  # noqa: E402
 from quern.llm.token_counts import TOKENIZERS, encoder, token_count  # noqa: E402
 from quern.llm.top_items import top_per_group  # noqa: E402
@@ -407,6 +407,11 @@ def test_document_subjects_where_one_text_or_subject_is_a_third(spark, third):
     assert sum(got.get(i) == {s} for i, _, _, s in docs) / len(docs) >= 0.95
 
 
+def test_vocabulary_keeps_the_words_of_a_small_language(spark):
+    texts = spark.range(14_000).select(F.when(F.col("id") < 60, "xx").otherwise("en").alias("lang"), F.when(F.col("id") < 6, "rara los").when(F.col("id") < 60, "los").otherwise("the").alias("words"))
+    assert set(read_vocabulary(texts, 14_000).words) == {"rara", "los", "the"}
+
+
 def test_queries_run_on_the_smallest_tables(spark, small):
     from quern.llm.queries import QUERIES, SQL
 
