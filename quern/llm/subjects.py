@@ -27,6 +27,7 @@ POWER_PASSES, MEAN_PASSES = 2, 3
 LEAST_SHARE = 5e-4
 LABEL_ROWS = 200_000
 LABEL_TRUST = 5.0
+LEAF_SHARE = 1 / 9
 LEAST_EVIDENCE = 1.2
 CLEAR = 0.25
 
@@ -298,6 +299,14 @@ class SubjectModel:
     leaf_subjects: dict[int, np.ndarray]
 
 
+def _blend(prior: np.ndarray, from_leaves: np.ndarray, from_labels: np.ndarray) -> np.ndarray:
+    """Subjects of terms (columns): the leaf mixtures weigh as LABEL_TRUST labelled documents, and LEAF_SHARE at least however many there are."""
+    given = (from_leaves + prior[:, None]) / (from_leaves.sum(0) + 1)
+    labels = from_labels.sum(0)
+    trust = np.maximum(LABEL_TRUST, labels * LEAF_SHARE / (1 - LEAF_SHARE))
+    return (trust * given + from_labels) / (trust + labels)
+
+
 def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects: list[str], n_docs: int, label_rows: int = LABEL_ROWS) -> SubjectModel:
     """Tree, leaf labels and the terms' subjects. labels: id, subject; of more than label_rows those with the smallest hash are used.
 
@@ -363,15 +372,11 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, labels: DataFrame, subjects:
         named = named / named.sum() if named.sum() > 0 else prior
         mixture[i] = (by_label[i] + 2 * named) / (by_label[i].sum() + 2)
 
-    def blend(from_leaves: np.ndarray, from_labels: np.ndarray) -> np.ndarray:
-        given = (from_leaves + prior[:, None]) / (from_leaves.sum(0) + 1)
-        return (LABEL_TRUST * given + from_labels) / (LABEL_TRUST + from_labels.sum(0))
-
-    given = blend(mixture.T @ n_leaf, n_label)
+    given = _blend(prior, mixture.T @ n_leaf, n_label)
     evidence = np.log((given + 0.01) / (prior[:, None] + 0.01)) * (vocabulary.docs / (vocabulary.docs + 5))
     # a term speaks for a subject only if it closes a quarter of the gap to certainty from the subject's share, that of the term's language too:
     # words that frame any text lie over the subjects as its texts do, however many these are
-    base = np.maximum(prior[:, None], blend(mixture.T @ in_lang, label_lang)[:, vocabulary.home])
+    base = np.maximum(prior[:, None], _blend(prior, mixture.T @ in_lang, label_lang)[:, vocabulary.home])
     clear = (given >= base + CLEAR * (1 - base)).any(axis=0)
     evidence[:, ~clear] = 0
     for x in sent:
