@@ -15,6 +15,7 @@ from quern.llm.link_groups import link_groups  # noqa: E402
 from quern.llm.mixing import fly, land, mix_sources, plan_shares, reached_shares, read_targets  # noqa: E402
 from quern.llm.packing import pack, plan_bins  # noqa: E402
 from quern.llm.rank_sketch import RankSketch, merge_sketches, quantiles, relative_error, sketches  # noqa: E402
+from quern.llm import subjects  # noqa: E402
 from quern.llm.subjects import _blend, document_subjects, read_vocabulary, sentences  # noqa: E402
 from quern.llm.term_frequencies import mark_terms, term_frequencies  # noqa: E402
 from quern.llm.token_counts import TOKENIZERS, encoder, token_count  # noqa: E402
@@ -414,6 +415,10 @@ def test_leaf_mixtures_count_however_many_labels_there_are():
         assert abs(only_second.sum() - 1) < 1e-9 and 0.09 < only_second[0, 0] < 0.11
 
 
+def test_splits_have_four_passes_of_means():
+    assert subjects.MEAN_PASSES >= 4
+
+
 def test_vocabulary_keeps_the_words_of_a_small_language(spark):
     texts = spark.range(14_000).select(F.when(F.col("id") < 60, "xx").otherwise("en").alias("lang"), F.when(F.col("id") < 6, "rara los").when(F.col("id") < 60, "los").otherwise("the").alias("words"))
     assert set(read_vocabulary(texts, 14_000).words) == {"rara", "los", "the"}
