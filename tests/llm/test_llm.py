@@ -19,7 +19,7 @@ from quern.llm import subjects  # noqa: E402
 from quern.llm.subjects import _blend, document_subjects, read_vocabulary, sentences  # noqa: E402
 from quern.llm.term_frequencies import mark_terms, term_frequencies  # noqa: E402
 from quern.llm.token_counts import TOKENIZERS, encoder, token_count  # noqa: E402
-from quern.llm.top_items import top_per_group  # noqa: E402
+from quern.llm.top_items import _top_of_file, top_per_group  # noqa: E402
 
 
 def rows(df, *cols):
@@ -358,6 +358,17 @@ def test_sentences():
     assert sentences(None) == [] == sentences("  \n ")
 
 
+def test_row_groups_of_a_full_group_are_skipped(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows_ = [("a", float(s), s) for s in range(9, 3, -1)] + [("b", 2.0, 1), ("c", 1.0, 1)]
+    path = str(tmp_path / "f.parquet")
+    pq.write_table(pa.table({"g": [r[0] for r in rows_], "s": [r[1] for r in rows_], "i": [r[2] for r in rows_]}), path, row_group_size=2)
+    got = [r for b in _top_of_file("file://" + path, 2) for r in b.to_pylist()]
+    assert [(r["g"], r["s"], r["skipped"]) for r in got] == [("a", 9.0, 0), ("a", 8.0, 0), ("b", 2.0, 2), ("c", 1.0, 2)]
+
+
 def test_document_subjects_on_made_texts(spark):
     words = {"birds": "wing feather nest beak egg flight song perch".split(), "cars": "wheel engine brake road tyre gear clutch driver".split(), "bread": "flour yeast oven dough crust loaf bake knead".split()}
     rng = random.Random(10)
