@@ -16,7 +16,7 @@ from quern.llm.mixing import fly, land, mix_sources, plan_shares, reached_shares
 from quern.llm.packing import pack, plan_bins  # noqa: E402
 from quern.llm.rank_sketch import RankSketch, merge_sketches, quantiles, relative_error, sketches  # noqa: E402
 from quern.llm import subjects  # noqa: E402
-from quern.llm.subjects import _blend, document_subjects, read_vocabulary, sentences  # noqa: E402
+from quern.llm.subjects import document_subjects, read_vocabulary, sentences  # noqa: E402
 from quern.llm.term_frequencies import mark_terms, term_frequencies  # noqa: E402
 from quern.llm.token_counts import TOKENIZERS, encoder, token_count  # noqa: E402
 from quern.llm.top_items import _top_of_file, top_per_group  # noqa: E402
@@ -356,6 +356,7 @@ def test_sentences():
     got = sentences("<p>Caf&eacute; opens. It&nbsp;closes at 9!</p> <p>Home | Help</p>\n[[Category:X]] {{stub}}\n\nMore text")
     assert got == [["cafe", "opens"], ["it", "closes", "at"], ["more", "text"]]
     assert sentences(None) == [] == sentences("  \n ")
+    assert sentences(f"one <a href='{'x' * 5000}'> two <b> 3 < 4 and 5 > 2") == [["one"], ["two"], ["and"]]
 
 
 def test_row_groups_of_a_full_group_are_skipped(tmp_path):
@@ -419,20 +420,43 @@ def test_document_subjects_where_one_text_or_subject_is_a_third(spark, third):
     assert sum(got.get(i) == {s} for i, _, _, s in docs) / len(docs) >= 0.95
 
 
-def test_leaf_mixtures_count_however_many_labels_there_are():
-    leaves, prior = np.array([[900.0], [100.0]]), np.array([0.5, 0.5])
-    for labels in (100, 100_000):
-        only_second = _blend(prior, leaves, np.array([[0.0], [float(labels)]]))
-        assert abs(only_second.sum() - 1) < 1e-9 and 0.09 < only_second[0, 0] < 0.11
+def subject_case(spark):
+    rng = random.Random(12)
+    names = [f"{a}olo" for a in "bdfgkl"]
+    docs = [(i, made_text(rng, rng.choice(names)), "en") for i in range(300)]
+    truth = {i: next(s for s in names if s in t) for i, t, _ in docs}
+    known = spark.createDataFrame([(i, truth[i]) for i in truth if i % 5 == 0], "id long, subject string")
+    return spark.createDataFrame(docs, "id long, text string, lang string"), known, names, truth
+
+
+@pytest.mark.parametrize("few", [1_000_000, 2000, 0])
+def test_subjects_come_through_the_leaves_of_the_tree(spark, few):
+    """With one leaf there are none, whatever the labels say; passes over all texts and subtrees grown in tasks do the same."""
+    df, known, names, truth = subject_case(spark)
+    found = lambda **k: [(r["id"], r["subject"]) for r in document_subjects(df, "id", "text", "lang", known, names, few=few, **k).collect()]
+    if few:
+        assert found(depth=0) == []
+    got = found(depth=5)
+    assert sum(truth[i] == s for i, s in got) >= 0.97 * len(truth) and len(got) <= 1.03 * len(truth)
+
+
+def test_words_of_one_hash_are_taken_for_one(spark):
+    df, known, names, truth = subject_case(spark)
+    got = {r["id"]: r["subject"] for r in document_subjects(df, "id", "text", "lang", known, names, bits=12).collect()}
+    assert sum(got.get(i) == s for i, s in truth.items()) >= 0.9 * len(truth)
+    with pytest.raises(ValueError):
+        document_subjects(df, "id", "text", "lang", known, [str(i) for i in range(65)])
 
 
 def test_splits_have_four_passes_of_means():
     assert subjects.MEAN_PASSES >= 4
 
 
-def test_vocabulary_keeps_the_words_of_a_small_language(spark):
-    texts = spark.range(14_000).select(F.when(F.col("id") < 60, "xx").otherwise("en").alias("lang"), F.when(F.col("id") < 6, "rara los").when(F.col("id") < 60, "los").otherwise("the").alias("words"))
-    assert set(read_vocabulary(texts, 14_000).words) == {"rara", "los", "the"}
+def test_vocabulary_has_every_word_and_a_small_language(spark):
+    texts = spark.range(14_000).select(F.when(F.col("id") < 60, "xx").otherwise("en").alias("lang"), F.when(F.col("id") < 1, F.array(F.lit(1), F.lit(2))).when(F.col("id") < 60, F.array(F.lit(2))).otherwise(F.array(F.lit(3))).alias("terms"))
+    v = read_vocabulary(texts, 4)
+    assert v.langs == ["en", "xx"] and v.docs[[1, 2, 3]].tolist() == [1, 60, 13_940] and v.docs.sum() == 14_001
+    assert v.weight[2] == 0 == v.weight[3] and v.weight[1] > 2
 
 
 def test_queries_run_on_the_smallest_tables(spark, small):
