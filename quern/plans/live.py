@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -21,15 +21,17 @@ def live_postings(postings: DataFrame, doclens: DataFrame) -> DataFrame:
     document that isn't in the index are left out; rows equal in all columns count once, and freq is
     summed over what is the same posting once terms are compared in the index's form.
 
-    Repeated rows collapse before anything is joined; the latest load per document is a compact
-    aggregate of two columns; the sums need no shuffle beyond that of the join by document.
+    Both tables are brought together by document once; the latest load, repeats and sums are then found among a document's rows, and
+    no further shuffle follows. Of rows that can't be live only the load travels.
     """
-    columns = ["segment", "field", "term", "doc_id", "freq", "pos", "loaded_at"]
-    latest = postings.where("doc_id is not null and loaded_at is not null").groupBy("doc_id").agg(F.max("loaded_at").alias("latest"))
-    docs = latest.join(indexed_documents(doclens), "doc_id", "left_semi")
-    once = postings.select(*columns).where("freq > 0 and term is not null and doc_id is not null").distinct()
-    rows = once.select("field", "term", "doc_id", "freq", "loaded_at").join(docs, "doc_id").where("loaded_at >= latest")
-    return rows.select("field", text.term("term").alias("term"), "doc_id", "freq").where("term <> ''").groupBy("field", "term", "doc_id").agg(F.sum("freq").alias("freq"))
+    # a row's freq doesn't matter to which load is the latest
+    rows = postings.where("doc_id is not null and loaded_at is not null").select("doc_id", "loaded_at", F.when((F.col("freq") > 0) & F.col("term").isNotNull(), F.struct("segment", "field", "term", "freq", "pos")).alias("p"))
+    indexed = doclens.where("doc_id is not null").select("doc_id", F.lit(None).cast(dict(postings.dtypes)["loaded_at"]).alias("loaded_at"), F.lit(None).cast(rows.schema["p"].dataType).alias("p"))
+    both = rows.unionByName(indexed).repartition("doc_id")
+    w = Window.partitionBy("doc_id")
+    latest = both.withColumn("latest", F.max("loaded_at").over(w)).withColumn("indexed", F.bool_or(F.col("loaded_at").isNull()).over(w)).where("indexed and loaded_at = latest and p is not null")
+    once = latest.select("doc_id", "p.*").distinct()
+    return once.select("field", text.term("term").alias("term"), "doc_id", "freq").where("term <> ''").groupBy("field", "term", "doc_id").agg(F.sum("freq").alias("freq"))
 
 
 def read_live(spark: SparkSession, folder: str) -> DataFrame:
