@@ -15,8 +15,9 @@ from quern.llm.rank_sketch import merge_sketches, quantiles, sketches
 from quern.llm.subjects import document_subjects
 from quern.llm.term_frequencies import mark_terms, term_frequencies
 from quern.llm.token_counts import token_count
-from quern.llm.top_items import top_per_group
+from quern.llm.top_items import cluster_by_group, skipped_row_groups, top_per_group
 from quern.plans.live import SQL_INDEXED, SQL_LIVE, indexed_documents, read_live
+from quern.scratch import Scratch
 from quern.sources.tables import table
 
 
@@ -74,6 +75,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_group(read_live(spark, folder), ["field", "term"], "freq", "doc_id", 3).select("field", "term", "doc_id")
 
 
+def p6_row_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Row groups and rows in all files of the clustered postings, and how many of them weren't read for the best 3."""
+    with Scratch(spark, "row-groups") as scratch:
+        uri = scratch.folder()
+        cluster_by_group(read_live(spark, folder), ["field", "term"], "freq", "doc_id", uri)
+        return scratch.write(skipped_row_groups(spark, uri, 3).agg(*(F.sum(c).alias(c) for c in ("row_groups", "skipped", "rows", "rows_read"))), keep=True)
+
+
 def p5_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """The commonest queries with estimated and exact counts."""
     log = table(spark, folder, "search_log").where("page = 1 and id is not null").select("id", text.phrase("query").alias("query"))
@@ -132,7 +141,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_subjects(spark, folder).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p5_estimates": p5_estimates, "p6_found": p6_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p5_estimates": p5_estimates, "p6_found": p6_found, "p6_row_groups": p6_row_groups, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),

@@ -19,7 +19,7 @@ from quern.llm import subjects  # noqa: E402
 from quern.llm.subjects import document_subjects, read_vocabulary, sentences  # noqa: E402
 from quern.llm.term_frequencies import mark_terms, term_frequencies  # noqa: E402
 from quern.llm.token_counts import TOKENIZERS, encoder, token_count  # noqa: E402
-from quern.llm.top_items import _top_of_file, top_per_group  # noqa: E402
+from quern.llm.top_items import _top_of_file, cluster_by_group, skipped_row_groups, top_of_clustered, top_per_group  # noqa: E402
 
 
 def rows(df, *cols):
@@ -366,8 +366,21 @@ def test_row_groups_of_a_full_group_are_skipped(tmp_path):
     rows_ = [("a", float(s), s) for s in range(9, 3, -1)] + [("b", 2.0, 1), ("c", 1.0, 1)]
     path = str(tmp_path / "f.parquet")
     pq.write_table(pa.table({"g": [r[0] for r in rows_], "s": [r[1] for r in rows_], "i": [r[2] for r in rows_]}), path, row_group_size=2)
-    got = [r for b in _top_of_file("file://" + path, 2) for r in b.to_pylist()]
-    assert [(r["g"], r["s"], r["skipped"]) for r in got] == [("a", 9.0, 0), ("a", 8.0, 0), ("b", 2.0, 2), ("c", 1.0, 2)]
+    seen = {}
+    got = [r for b in _top_of_file("file://" + path, 2, seen) for r in b.to_pylist()]
+    assert [(r["g"], r["s"]) for r in got] == [("a", 9.0), ("a", 8.0), ("b", 2.0), ("c", 1.0)]
+    assert seen == {"row_groups": 4, "skipped": 2, "rows": 8, "rows_read": 4}
+
+
+def test_most_of_a_large_group_is_never_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quern.llm.top_items.ROW_GROUP_BYTES", 4096)
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 997)).alias("g"), (F.xxhash64("id") % 1000).alias("s"), "id")
+    uri = f"file://{tmp_path}/clustered"
+    cluster_by_group(df, ["g"], "s", "id", uri)
+    r = skipped_row_groups(spark, uri, 3).agg(*(F.sum(c).alias(c) for c in ("row_groups", "skipped", "rows", "rows_read"))).first()
+    assert r["rows"] == 60_000 and 0 < r["skipped"] < r["row_groups"] and r["rows_read"] < 50_000
+    for n in (1, 3):
+        assert rows(top_of_clustered(spark, uri, {"g": "string"}, "s", "id", n)) == rows(top_per_group(df, ["g"], "s", "id", n))
 
 
 def test_document_subjects_on_made_texts(spark):
