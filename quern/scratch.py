@@ -1,6 +1,6 @@
 """Tables that cut a plan's lineage, kept in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests on
 one machine, a temporary folder is made. Executors may be lost at any time: what is written
 here doesn't depend on them.
 """
@@ -24,6 +24,9 @@ def root(spark: SparkSession) -> str:
     if configured:
         path = spark._jvm.org.apache.hadoop.fs.Path(configured)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own_root:
         _own_root["dir"] = "file://" + tempfile.mkdtemp(prefix="quern-")
     return _own_root["dir"]

@@ -59,3 +59,15 @@ def test_live_postings(spark):
     stats = spark.createDataFrame([(0, "title", "Cafe", 1, 1.0), (0, "title", "Cafe", 1, 1.0), (1, "title", "left", 2, None), (0, "opening", "ok", None, None), (0, "opening", "", 5, None)], "segment int, field string, term string, doc_freq long, idf double")
     found = count_differences(live_postings(p, lens), recorded_doc_freq(stats))
     assert rows(found) == [("opening", "ok", 1, 0), ("title", "left", 0, 2)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quern.scratch import root
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://a:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            root(session(master))
+    assert root(session("local[4]")).startswith("file://") and root(session("local")).startswith("file://")
