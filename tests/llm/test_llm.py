@@ -18,6 +18,7 @@ from quern.llm.rank_sketch import RankSketch, merge_sketches, quantiles, relativ
 from quern.llm import subjects  # noqa: E402
 from quern.llm.subjects import document_subjects, read_vocabulary, sentences  # noqa: E402
 from quern.llm.term_frequencies import mark_terms, term_frequencies  # noqa: E402
+from quern.scratch import Scratch  # noqa: E402
 from quern.llm.token_counts import TOKENIZERS, encoder, token_count  # noqa: E402
 from quern.llm.top_items import _top_of_file, cluster_by_group, skipped_row_groups, top_of_clustered, top_per_group  # noqa: E402
 
@@ -46,6 +47,17 @@ def test_term_frequencies(spark, leaf_rows):
     assert got == {t: (c, len(ds)) for t, (c, ds) in want.items()} | {"absent": (0, 0)}
 
 
+def test_a_hot_term_is_split_by_levels(spark, monkeypatch):
+    """By its bits, by further bits, and by the record's: three jobs of writing, however many partitions are too large."""
+    levels = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, *by, **k: (levels.append(by), write(self, df, *by, **k))[1])
+    df = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 300)).alias("t"), "id")
+    got = {r["term"]: r["doc_freq"] for r in term_frequencies(df, "t", "id", leaf_rows=100).collect()}
+    assert got == {"hot": 1500} | {f"t{i}": 10 for i in range(1, 300, 2)}
+    assert levels == [("part", "radix")] * 3 + [()]
+
+
 def test_term_frequencies_empty_and_marks(spark):
     none = spark.createDataFrame([], "t string, d long")
     assert term_frequencies(none, "t", "d").count() == 0
