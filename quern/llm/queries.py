@@ -65,10 +65,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_degrees(spark: SparkSession, folder: str) -> DataFrame:
-    """Graph-of-words score of every term of every opening."""
+    """Graph-of-words score of every term of every title and opening, each field by itself."""
     indexed = indexed_documents(table(spark, folder, "doclens"))
-    openings = table(spark, folder, "documents").join(indexed, "doc_id", "left_semi").select("doc_id", text.tokens("opening").alias("words"))
-    return term_scores(word_degrees(openings, "doc_id", "words"), "doc_id", "term", "degree", indexed.count())
+    docs = table(spark, folder, "documents").join(indexed, "doc_id", "left_semi")
+    texts = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text.tokens(f).alias("words")) for f in ("title", "opening")))).alias("x")).select("doc_id", "x.*")
+    return term_scores(word_degrees(texts, ["doc_id", "field"], "words"), "doc_id", "term", "degree", indexed.count(), within=["field"])
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,13 +168,14 @@ o as (select doc_id, term, freq from live where field = 'opening'), df as (selec
 scored as (select doc_id, o.term, round(freq * ln(((select count(*) from indexed) + 0.5) / (df + 0.5) + 1), 6) as score from o join df on o.term = df.term)
 select doc_id, term from scored qualify row_number() over (partition by doc_id order by score desc, term) = 1""",
     "p4_degrees": f"""with {SQL_INDEXED},
-w as (select doc_id, {text.sql_tokens("opening")} as w from documents where doc_id in (select doc_id from indexed)),
-pl as (select doc_id, unnest(w) as a, unnest(range(len(w))) as i from w),
-near as (select x.doc_id, x.a as term, y.a as near from pl x join pl y on x.doc_id = y.doc_id and x.a <> y.a and abs(x.i - y.i) between 1 and 3),
-deg as (select a.doc_id, a.a as term, coalesce(any_value(k), 0) as weight from pl a
-        left join (select doc_id, term, count(distinct near) as k from near group by doc_id, term) n on a.doc_id = n.doc_id and a.a = n.term group by 1, 2),
-df as (select term, count(*) as doc_freq from deg group by term)
-select doc_id, d.term, weight, doc_freq, round(weight * ln(((select count(*) from indexed) + 0.5) / (doc_freq + 0.5) + 1), 6) as score from deg d join df on d.term = df.term""",
+w as (select doc_id, 'title' as field, {text.sql_tokens("title")} as w from documents where doc_id in (select doc_id from indexed)
+      union all select doc_id, 'opening', {text.sql_tokens("opening")} from documents where doc_id in (select doc_id from indexed)),
+pl as (select doc_id, field, unnest(w) as a, unnest(range(len(w))) as i from w),
+near as (select x.doc_id, x.field, x.a as term, y.a as near from pl x join pl y on x.doc_id = y.doc_id and x.field = y.field and x.a <> y.a and abs(x.i - y.i) between 1 and 3),
+deg as (select a.doc_id, a.field, a.a as term, coalesce(any_value(k), 0) as weight from pl a
+        left join (select doc_id, field, term, count(distinct near) as k from near group by all) n on a.doc_id = n.doc_id and a.field = n.field and a.a = n.term group by 1, 2, 3),
+df as (select field, term, count(*) as doc_freq from deg group by all)
+select doc_id, field, d.term, weight, doc_freq, round(weight * ln(((select count(*) from indexed) + 0.5) / (doc_freq + 0.5) + 1), 6) as score from deg d join df using (field, term)""",
     "p6_found": f"with {SQL_LIVE} select field, term, doc_id from live qualify row_number() over (partition by field, term order by freq desc, doc_id) <= 3",
     "p5_queries": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
 counted as (select query, count(*) as n from once where query <> '' group by query)
