@@ -22,6 +22,7 @@ DEPTH = 5
 WIDTH = 8192
 SLICE = 1024
 SLACK = 0.5
+MOST_WIDTH = 1 << 20
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -118,20 +119,27 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], schema=_SLICES)
 
 
-def heavy_hitters(df: DataFrame, value: str | Column, share: float, once_by: str | None = None, width: int = WIDTH, depth: int = DEPTH, slack: float = SLACK) -> DataFrame:
+def heavy_hitters(df: DataFrame, value: str | Column, share: float, once_by: str | None = None, width: int | None = None, depth: int = DEPTH, slack: float = SLACK) -> DataFrame:
     """value, estimate, count, total: the values that make up at least that share of the counted rows.
 
     value: a string; rows in which it is null aren't counted. once_by: rows that agree in this column,
     if it isn't null, count once (they must agree in the value, too). count is exact; estimate is that of the
     sketch. An empty input gives no rows.
 
-    Memory: levels x depth x width counters per task and on the driver. Prefixes estimated at slack x
+    Memory: levels x depth x width counters per task and on the driver. width: by default a power of 2 from 40 / share on, WIDTH at least;
+    a share that asks for more than MOST_WIDTH is refused. Prefixes estimated at slack x
     threshold or above are followed, so a value is missed only if the median of depth rows errs by more
-    than (1 - slack) x threshold: with the default width, depth and a share of 0.5 % that is over
-    a dozen standard deviations at the last level. At most levels x 1 / (slack x share) prefixes, give or
+    than (1 - slack) x threshold. In a row, rarer values err by a standard deviation of at most 1 / sqrt(20) of that, and one of the
+    commoner ones, of which there are at most 1 / (slack x share), shares the counter with a chance of 5 %. At most levels x 1 / (slack x share) prefixes, give or
     take that error, are followed. Shuffled is the hash alone, of the rows under candidates the value.
     """
     spark = df.sparkSession
+    if not 0 < share <= 1:
+        raise ValueError("the share must be above 0 and 1 at most")
+    if width is None:
+        width = max(WIDTH, 1 << math.ceil(math.log2(40 / share)))
+        if width > MOST_WIDTH:
+            raise ValueError(f"a share of {share} would take {width} counters in a row; the least is {40 / MOST_WIDTH}")
     shape = (width, depth, LEVELS, STEP)
     rows = df.select((F.col(value) if isinstance(value, str) else value).cast("string").alias("v"), (F.col(once_by) if once_by else F.lit(None)).alias("id")).where("v is not null")
     hashed = rows.select(F.xxhash64("v").alias("h"), "id")
