@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.scratch import Scratch
 
-CLASSES = 1 << 16
+MOST_CAPACITY = 1 << 20
 ROWS_PER_TASK = 500_000
 
 
@@ -104,32 +104,32 @@ def pack(items: DataFrame, item: str, size: str, tasks: Sequence[tuple[int, int]
 
     An item larger than the capacity is cut into pieces of the capacity and a rest; no other is cut. Items
     of null, zero or negative size take no space: one row with size 0 and without bin. Repeated rows are items
-    of their own. Bins are numbered from 0 in each task. Other columns of the items aren't read.
+    of their own. A capacity over MOST_CAPACITY is refused. Bins are numbered from 0 in each task. Other columns of the items aren't read.
     """
     spark = items.sparkSession
     if any(capacity is None or capacity < 1 for _, capacity in tasks):
         raise ValueError("a capacity must be at least 1")
+    if any(capacity > MOST_CAPACITY for _, capacity in tasks):
+        raise ValueError(f"a capacity may be {MOST_CAPACITY} at most: the plan has a class for each size up to it")
     if not tasks:
         fields = {f.name: f.dataType.simpleString() for f in items.schema}
         return spark.createDataFrame([], f"pack_id int, `{item}` {fields[item]}, part int, first_token long, size long, bin_id long")
-    units = {p: math.ceil(c / CLASSES) for p, c in tasks}
-    offers = F.array(*(F.struct(F.lit(p).cast("int").alias("p"), F.lit(c).cast("long").alias("c"), F.lit(units[p]).cast("long").alias("unit")) for p, c in tasks))
+    offers = F.array(*(F.struct(F.lit(p).cast("int").alias("p"), F.lit(c).cast("long").alias("c")) for p, c in tasks))
     with Scratch(spark, "packing") as scratch:
         sized = scratch.write(items.select(F.col(item).alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n")), keep=True)
         pieces = (
             sized.select("item", "n", F.explode(offers).alias("o"))
             .select("item", "n", "o.*")
-            .select("item", "n", "p", "c", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / F.col("c")) - 1, F.lit(0)))).alias("part"))
-            .select("item", "p", "part", (F.col("part") * F.col("c")).alias("start"), F.least(F.col("n") - F.col("part") * F.col("c"), F.col("c")).alias("n"), "c", "unit")
-            # a capacity over CLASSES is measured in larger units, rounded up; a piece of nearly all of it has a bin of its own
-            .select("item", "p", "part", "start", "n", F.least(F.ceil(F.col("n") / F.col("unit")), F.floor(F.col("c") / F.col("unit"))).alias("k"))
+            .select("item", "n", "p", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / F.col("c")) - 1, F.lit(0)))).alias("part"))
+            .select("item", "p", "part", (F.col("part") * F.col("c")).alias("start"), F.least(F.col("n") - F.col("part") * F.col("c"), F.col("c")).alias("n"))
+            .withColumn("k", F.col("n"))
         )
-        counts = pieces.where("n > 0").groupBy("p", "k").count().collect()  # at most CLASSES rows for each task
+        counts = pieces.where("n > 0").groupBy("p", "k").count().collect()  # at most as many rows as the capacity for each task
         runs, ways = [], []
         for p, capacity in tasks:
             histogram = {r["k"]: r["count"] for r in counts if r["p"] == p}
             ways += [(p, k, math.ceil(n / ROWS_PER_TASK)) for k, n in histogram.items()]
-            runs += [(p, *run) for run in plan_bins(histogram, capacity // units[p])[0]]
+            runs += [(p, *run) for run in plan_bins(histogram, capacity)[0]]
         run = spark.createDataFrame(runs, "p int, k long, first long, after long, bin long, per_bin long")
         way = spark.createDataFrame(ways, "p int, k long, ways int")
         # rank among the pieces of a size: a size that many pieces have is counted in several ways at once
