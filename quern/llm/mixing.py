@@ -2,19 +2,19 @@
 
 Cube-method balanced sampling. Every record starts with the inclusion probability that its source's target
 asks for; probabilities then move, three records at a time, along the direction that changes neither the
-source's tokens nor its number of records, until they are 0 or 1. Each task does this for its records and
-leaves at most two of a source undecided. These are joined by the source's largest records and by a reserve of a
+source's tokens nor its number of records, until they are 0 or 1. This is done for buckets of a
+source's records and leaves at most two of each undecided. These are joined by the source's largest records and by a reserve of a
 few thousand others; the large ones are decided first, the reserve makes up for the rounding that this
 takes, and the last two records are rounded to what comes nearest to the source's tokens.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from quern.scratch import Scratch
 MOST_SOURCES = 100_000
 TINY = 1e-9
 RESERVE = 2000
+BUCKET_ROWS = 200_000
 LARGE_SHARE = 0.005
 
 
@@ -77,33 +78,35 @@ def land(tokens: np.ndarray, chances: np.ndarray, rng: np.random.Generator) -> n
 
 
 def _flight(seed: int, last: bool):
-    """Over rows (id, s, n, base, p). last: the rows of a source are all there, a bounded number, and none stays undecided."""
+    """Over rows (s, bucket, id, n, base, p), sorted by source and bucket, whose number in a bucket is bounded. last: none stays undecided.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    What is drawn depends on the seed, the source and the bucket, not on how the rows lie in partitions.
+    """
 
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId(), int(last)])
-        waiting: dict[str, pa.Table] = {}
-        schema = None
+    def decide(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(parts)
+        source, bucket = own.column("s")[0].as_py(), own.column("bucket")[0].as_py()
+        rng = np.random.default_rng([seed, int(last), bucket, zlib.crc32(source.encode())])
+        p = (land if last else fly)(own.column("n").to_numpy().astype(float), own.column("p").to_numpy(), rng)
+        yield from own.set_column(own.column_names.index("p"), "p", pa.array(p)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        at = None
         for b in batches:
-            schema = b.schema
-            rows = pa.Table.from_batches([b])
-            for source in rows.column("s").unique().to_pylist():
-                own = rows.filter(pa.compute.equal(rows.column("s"), source))
-                if source in waiting:
-                    own = pa.concat_tables([waiting.pop(source), own])
-                if last:
-                    waiting[source] = own
-                    continue
-                p = fly(own.column("n").to_numpy().astype(float), own.column("p").to_numpy(), rng)
-                done = (p <= TINY) | (p >= 1 - TINY)
-                own = own.set_column(own.column_names.index("p"), "p", pa.array(p))
-                yield from own.filter(pa.array(done)).to_batches()
-                waiting[source] = own.filter(pa.array(~done))
-        for own in waiting.values():
-            if last and own.num_rows:
-                own = own.set_column(own.column_names.index("p"), "p", pa.array(land(own.column("n").to_numpy().astype(float), own.column("p").to_numpy(), rng)))
-            yield from own.to_batches()
+            keys = list(zip(b.column("s").to_pylist(), b.column("bucket").to_pylist()))
+            start = 0
+            for i, k in enumerate(keys):
+                if k != at:
+                    if i > start:
+                        parts.append(b.slice(start, i - start))
+                    if parts:
+                        yield from decide(parts)
+                    parts, start, at = [], i, k
+            if len(keys) > start:
+                parts.append(b.slice(start))
+        if parts:
+            yield from decide(parts)
 
     return run
 
@@ -144,7 +147,7 @@ def mix_sources(records: DataFrame, record: str, source: str, size: str, targets
     Records of sources without target, without source or of no size aren't used (copies 0). A source whose average use is
     k + f has k copies of each of its records and one more of those that balanced sampling draws with chance f;
     its tokens come out within those of two ordinary records of the target, unless it has too few to make up for a
-    large one. The draw depends on the seed.
+    large one. The draw depends on the seed and the records, not on how they are spread over tasks.
     """
     spark = records.sparkSession
     with Scratch(spark, "mixing") as scratch:
@@ -153,18 +156,21 @@ def mix_sources(records: DataFrame, record: str, source: str, size: str, targets
         asked = spark.createDataFrame([(s,) for s, _, _ in targets], "s string")
         sums = rows.join(F.broadcast(asked), "s", "left_semi").groupBy("s").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()  # at most one row for each target
         uses = plan_shares(targets, {r["s"]: r["n"] for r in sums}, total)
-        about = {r["s"]: (max(1, r["k"] // RESERVE), int(LARGE_SHARE * r["n"])) for r in sums}
-        frame = spark.createDataFrame([(s, int(u), float(u - int(u)), *about.get(s, (1, 0))) for s, (_, u) in uses.items()], "s string, base int, p double, every long, large long")
+        about = {r["s"]: (max(1, r["k"] // RESERVE), int(LARGE_SHARE * r["n"]), -(-r["k"] // BUCKET_ROWS)) for r in sums}
+        frame = spark.createDataFrame([(s, int(u), float(u - int(u)), *about.get(s, (1, 0, 1))) for s, (_, u) in uses.items()], "s string, base int, p double, every long, large long, buckets long")
         with_use = rows.join(F.broadcast(frame), "s", "left").withColumn("used", F.col("base").isNotNull() & (F.col("n") > 0))
         draw = F.col("used") & (F.col("p") > TINY) & (F.col("p") < 1 - TINY)
-        schema = f"id {kind}, s string, n long, base int, p double"
+        schema = f"s string, bucket long, id {kind}, n long, base int, p double"
+        columns = ["s", "bucket", "id", "n", "base", "p"]
         # held back for the end: fewer than 1 / LARGE_SHARE large records of a source and about RESERVE others
         held = (F.col("n") > F.col("large")) | (F.pmod(F.xxhash64("id", "n"), F.col("every")) == 0)
-        first = with_use.where(draw & ~held).select("id", "s", "n", "base", "p").mapInArrow(_flight(seed, False), schema)
-        flown = scratch.write(first.unionByName(with_use.where(draw & held).select("id", "s", "n", "base", "p")), keep=True)
+        some = with_use.where(draw).withColumn("held", held).withColumn("bucket", F.when(F.col("held"), -1).otherwise(F.pmod(F.xxhash64("n", "id", F.lit(seed)), F.col("buckets"))))
+        order = ("s", "bucket", F.xxhash64("id", F.lit(seed)), "id", "n")
+        first = some.where("not held").select(*columns).repartition("s", "bucket").sortWithinPartitions(*order).mapInArrow(_flight(seed, False), schema)
+        flown = scratch.write(first.unionByName(some.where("held").select(*columns)), keep=True)
         done = F.col("p").isin(0.0, 1.0) | (F.col("p") <= TINY) | (F.col("p") >= 1 - TINY)
-        # what was held back and at most two records of a source for each task before
-        landed = flown.where(~done).repartition("s").sortWithinPartitions("s", "id").mapInArrow(_flight(seed, True), schema)
+        # what was held back and at most two records of each bucket before
+        landed = flown.where(~done).withColumn("bucket", F.lit(0).cast("long")).repartition("s").sortWithinPartitions(*order).mapInArrow(_flight(seed, True), schema)
         landed = scratch.write(landed, keep=True)
         drawn = flown.where(done).unionByName(landed).select("id", "s", "n", (F.col("base") + F.round("p")).cast("int").alias("copies"))
         fixed = with_use.where(~F.coalesce(draw, F.lit(False))).select("id", "s", "n", F.when(F.col("used"), F.col("base") + F.round("p")).otherwise(0).cast("int").alias("copies"))

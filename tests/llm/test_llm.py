@@ -13,7 +13,7 @@ from quern.llm.distinctive_terms import most_distinctive, term_scores, word_degr
 from quern.llm.heavy_hitters import PrefixSketch, heavy_hitters  # noqa: E402
 from quern.llm.link_groups import link_groups  # noqa: E402
 from quern.llm.mixing import fly, land, mix_sources, plan_shares, reached_shares, read_targets  # noqa: E402
-from quern.llm.packing import pack, plan_bins  # noqa: E402
+from quern.llm.packing import MOST_CAPACITY, pack, plan_bins  # noqa: E402
 from quern.llm.rank_sketch import RankSketch, merge_sketches, quantiles, relative_error, sketches  # noqa: E402
 from quern.llm import subjects  # noqa: E402
 from quern.llm.subjects import document_subjects, read_vocabulary, sentences  # noqa: E402
@@ -177,6 +177,18 @@ def test_word_degrees_and_scores(spark):
     assert term_scores(got.limit(0), "id", "term", "degree", 0).count() == 0
 
 
+def test_word_degrees_of_records_of_several_rows_and_columns(spark):
+    parts = [(1, "x", "a b c".split()), (1, "x", "b c d".split()), (1, "y", "a a b".split()), (2, "x", "a b c".split()), (1, "x", "a b c".split())]
+    got = rows(word_degrees(spark.createDataFrame(parts, "id long, f string, w array<string>"), ["id", "f"], "w", 2))
+    assert got == sorted([(1, "x", "a", 2, 1), (1, "x", "b", 3, 2), (1, "x", "c", 3, 2), (1, "x", "d", 1, 1), (1, "y", "a", 2, 1), (1, "y", "b", 1, 1), (2, "x", "a", 1, 1), (2, "x", "b", 1, 2), (2, "x", "c", 1, 1)], key=repr)
+
+
+def test_scores_within_fields(spark):
+    w = spark.createDataFrame([(1, "x", "a", 2), (1, "y", "a", 3), (2, "x", "a", 1), (2, None, "a", 1)], "id long, f string, t string, w int")
+    got = {(r["id"], r["f"]): r["doc_freq"] for r in term_scores(w, "id", "t", "w", 2, within=["f"]).collect()}
+    assert got == {(1, "x"): 2, (2, "x"): 2, (1, "y"): 1}
+
+
 def test_most_distinctive_ties(spark):
     s = spark.createDataFrame([(1, "b", 2.0), (1, "a", 2.0), (1, "c", 1.0), (2, "z", 0.0)], "id long, term string, score double")
     assert rows(most_distinctive(s, "id")) == [(1, "a", 2.0), (2, "z", 0.0)]
@@ -199,6 +211,11 @@ def test_heavy_hitters(spark):
     assert got == {q: (n, total) for q, n in counts.items() if n >= 0.005 * total} and len(got) > 20
     assert heavy_hitters(df.limit(0), "q", 0.01).count() == 0 and heavy_hitters(df.where("q is null"), "q", 0.01).count() == 0
     assert rows(heavy_hitters(df, "q", 0.3), "value") == [("top",)]
+    # a smaller share takes more counters, down to a limit
+    assert {r["value"] for r in heavy_hitters(df, "q", 0.0005, once_by="id").collect()} == {q for q, n in counts.items() if n >= 0.0005 * total}
+    for share in (0, 1e-9, 2):
+        with pytest.raises(ValueError):
+            heavy_hitters(df, "q", share)
 
 
 def test_sketch_adds_up():
@@ -278,7 +295,6 @@ def test_pairs_are_as_many_as_can_be():
 
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr("quern.llm.packing.ROWS_PER_TASK", 7)
-    monkeypatch.setattr("quern.llm.packing.CLASSES", 64)
     rng = random.Random(8)
     data = [(i, rng.choice([3, 3, 3, rng.randrange(1, 400)])) for i in range(300)] + [(300, 0), (301, None), (302, -4), (None, 5), (7, 3), (7, 3), (303, 1000)]
     df = spark.createDataFrame(data, "id long, n int").withColumn("bin", F.lit("clash"))
@@ -300,8 +316,15 @@ def test_pack(spark, monkeypatch):
                 assert len(parts) == max(1, math.ceil(want[0] / c)) and [r["first_token"] for r in parts] == [k * c for k in range(len(parts))]
         assert [r["bin_id"] for r in got[300] + got[301] + got[302]] == [None] * 3
     assert pack(df.limit(0), "id", "n", [(1, 10)]).count() == 0 and pack(df, "id", "n", []).count() == 0
-    with pytest.raises(ValueError):
-        pack(df, "id", "n", [(1, 0)])
+    for capacity in (0, MOST_CAPACITY + 1):
+        with pytest.raises(ValueError):
+            pack(df, "id", "n", [(1, capacity)])
+
+
+def test_a_large_capacity_is_packed_in_single_units(spark):
+    n = [50_001, 49_999, 70_000, 30_000, 99_999, 1]
+    out = pack(spark.createDataFrame(list(enumerate(n)), "id long, n int"), "id", "n", [(1, 100_000)]).collect()
+    assert len({r["bin_id"] for r in out}) == 3 and sorted(r["size"] for r in out) == sorted(n)
 
 
 def test_token_counts(spark):
@@ -338,7 +361,7 @@ def test_plan_shares():
     assert got["a"] == (525.0, 0.525) and got["b"] == (315.0, 2.0) and got["c"][1] == 0.0
 
 
-def test_mix_sources(spark):
+def test_mix_sources(spark, monkeypatch):
     rng = random.Random(9)
     data = [(i, "big" if i % 3 else "small" if i % 2 else "tiny", rng.randrange(1, 300), 1) for i in range(4000)] + [(5000, None, 10, 1), (5001, "big", None, 1), (5002, "big", 0, 1), (5003, "unwanted", 50, 1), (5004, "big", 60_000, 1)]
     df = spark.createDataFrame(data, "id long, src string, n int, copies int").repartition(6)
@@ -356,6 +379,10 @@ def test_mix_sources(spark):
         assert abs(mixed - use * have[s]) <= 300
     report = {r["src"]: r for r in reached_shares(out, "src", "n", targets).collect()}
     assert abs(sum(r["reached_share"] for r in report.values()) - 1) < 1e-9 and report["none"]["records"] == 0 and report["small"]["most_copies"] <= 4
+    assert {r["id"]: r["copies"] for r in mix_sources(df.repartition(3), "id", "src", "n", targets, total=300_000).collect()} == got
+    monkeypatch.setattr("quern.llm.mixing.BUCKET_ROWS", 300)
+    few = mix_sources(df, "id", "src", "n", targets, total=300_000)
+    assert few.where("src = 'small'").agg(F.abs(F.sum(F.expr("n * copies")) - min(150_000, 4 * have["small"]))).first()[0] <= 300
     empty = mix_sources(df.limit(0), "id", "src", "n", targets)
     assert empty.count() == 0 and reached_shares(empty, "src", "n", targets).count() == 5
     assert {r["copies"] for r in mix_sources(df, "id", "src", "n", []).collect()} == {0}
