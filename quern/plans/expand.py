@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.functions.words import morph_forms, osa_column, risky_roots, root_words
 from quern.plans.index import Index
 from quern.plans.query import ALGORITHMS, QUESTION_WORDS, Knobs, ParsedQuery, Profile, normalizer, parse
+from quern.plans.small import small_table
 
 _NUMBER = regex.compile(r"\p{N}")
 MASK_BITS = 62
@@ -198,7 +199,7 @@ def _lookup(index: Index, terms: Iterable[str], table: DataFrame) -> DataFrame:
     terms = sorted(set(terms))
     if len(terms) <= 500:
         return table.where(F.col("term").isin(terms))
-    return table.join(F.broadcast(index.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
+    return table.join(small_table(index.spark, [(t,) for t in terms], "term string"), "term", "left_semi")
 
 
 def fuzzy_candidates(vocabulary: DataFrame, words: DataFrame, cap: int) -> DataFrame:
@@ -212,7 +213,8 @@ def fuzzy_candidates(vocabulary: DataFrame, words: DataFrame, cap: int) -> DataF
     plain = near.withColumn("c", F.levenshtein("word", "term")).where(F.col("c") <= F.col("budget") + 1)
     exact = plain.withColumn("distance", F.when(F.col("c") <= F.col("budget"), F.col("c")).otherwise(osa_column(F.col("word"), F.col("term")))).where(F.col("distance") <= F.col("budget"))
     order = Window.partitionBy("word", F.col("distance") == 0).orderBy("len", "first_field", "term")
-    return exact.withColumn("r", F.row_number().over(order)).where((F.col("distance") == 0) | (F.col("r") <= cap)).select("word", "term", "distance", "len", "first_field")
+    # a constant limit on the rank is applied before the shuffle, too; the word itself is alone in its part
+    return exact.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, cap)).where((F.col("distance") == 0) | (F.col("r") <= cap)).select("word", "term", "distance", "len", "first_field")
 
 
 def spelling(index: Index, plans: Sequence[Plan]) -> None:
@@ -223,7 +225,7 @@ def spelling(index: Index, plans: Sequence[Plan]) -> None:
         found: dict[str, list] = {}
         if confidence < 100 and words:
             rows = [(t, max(1, math.floor(len(t) * (100 - confidence) / 100))) for t in words]
-            got = fuzzy_candidates(index.table("vocabulary"), index.spark.createDataFrame(rows, "word string, budget int"), cap)
+            got = fuzzy_candidates(index.table("vocabulary"), small_table(index.spark, rows, "word string, budget int"), cap)
             for r in sorted(got.collect(), key=lambda r: (r["len"], r["first_field"], r["term"])):
                 found.setdefault(r["word"], []).append((r["term"], r["distance"]))
         for p in some:
@@ -292,17 +294,17 @@ def correct(index: Index, plans: Sequence[Plan], vouch: Callable[[Sequence[Plan]
                 p.slots["p:" + t] = [t]
 
 
-def prefix_completions(term_docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def prefix_completions(term_docs: DataFrame, prefixes: DataFrame, most_caps: int) -> DataFrame:
     """pid, field, term of the commonest completions of each prefix and field.
 
     prefixes: pid, field, prefix, most (documents of a completion at most, null for no limit), cap, budget (rows of all, 0 for
-    no limit; the first completion is kept whatever it has).
+    no limit; the first completion is kept whatever it has). most_caps: the largest cap, a constant that limits what is shuffled and sorted.
     """
     p = prefixes.withColumn("fc", F.substring("prefix", 1, 1))
     t = term_docs.withColumn("fc", F.substring("term", 1, 1))
     fits = t.join(F.broadcast(p), ["field", "fc"]).where(F.col("term").startswith(F.col("prefix")) & (F.col("most").isNull() | (F.col("doc_freq") <= F.col("most"))))
     w = Window.partitionBy("pid", "field").orderBy(F.desc("doc_freq"), "term")
-    ranked = fits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("cap"))
+    ranked = fits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_caps).where(F.col("r") <= F.col("cap"))
     summed = ranked.withColumn("rows", F.sum("doc_freq").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return summed.where((F.col("r") == 1) | (F.col("budget") <= 0) | (F.col("rows") <= F.col("budget"))).select("pid", "field", "term", "r")
 
@@ -319,8 +321,8 @@ def prefixes(index: Index, plans: Sequence[Plan]) -> None:
                 asked.setdefault((f, prefix, most, p.profile.max_wildcard, p.profile.wildcard_budget), len(asked))
     found: dict[tuple[int, str], list[str]] = {}
     if asked:
-        rows = index.spark.createDataFrame([(i, *k) for k, i in asked.items()], "pid int, field string, prefix string, most long, cap int, budget long")
-        for r in sorted(prefix_completions(index.table("termstats"), rows).collect(), key=lambda r: (r["pid"], r["field"], r["r"])):
+        rows = small_table(index.spark, [(i, *k) for k, i in asked.items()], "pid int, field string, prefix string, most long, cap int, budget long")
+        for r in sorted(prefix_completions(index.table("termstats"), rows, max(k[3] for k in asked)).collect(), key=lambda r: (r["pid"], r["field"], r["r"])):
             found.setdefault((r["pid"], r["field"]), []).append(r["term"])
     for p in plans:
 

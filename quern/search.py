@@ -6,7 +6,9 @@ that is joined by broadcast, up to a checked number of rows.
 
 from __future__ import annotations
 
+import functools
 import html
+import operator
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, fields, replace
 
@@ -20,8 +22,10 @@ from quern.functions.words import decode_positions, encode_positions, risky_root
 from quern.plans.expand import MASK_BITS, Options, Plan, plan_queries
 from quern.plans.index import FORMAT, Index
 from quern.plans.query import ALGORITHMS, Knobs, Profile, normalizer
+from quern.plans.small import small_table
+from quern.scratch import Scratch
 
-BROADCAST_TERMS = 200_000
+EQUALITIES, RANGES = 200, 64
 CONTEXT_DOCS = 2000
 PLAIN = ("bm25", "bm25+cov", "dfr", "cover", "idf", "freq")
 NEAR = ("bm25", "bm25+cov", "bm25f", "dfr")
@@ -112,9 +116,9 @@ class Searcher:
             spark = self.index.spark
             rows = [(p.query_id, t, f) for p, t in pairs for f in p.weights]
             others = [(p.query_id, t, f, o) for p, t in pairs for f in p.weights for o in {*p.parsed.required, *p.typed} - {t}]
-            w = F.broadcast(spark.createDataFrame(rows, "query_id long, term string, field string"))
-            o = F.broadcast(spark.createDataFrame(others, "query_id long, word string, field string, term string"))
-            postings = self.index.table("postings").select("field", "term", "doc_id")
+            w = small_table(spark, rows, "query_id long, term string, field string")
+            o = small_table(spark, others, "query_id long, word string, field string, term string")
+            postings = read_terms(self.index, [*((f, t) for _, t, f in rows), *((f, o) for _, _, f, o in others)]).select("field", "term", "doc_id")
             own = postings.join(w, ["field", "term"]).select("query_id", "field", F.col("term").alias("word"), "doc_id")
             own = own.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "word", "field").orderBy("doc_id"))).where(F.col("r") <= CONTEXT_DOCS).drop("r")
             near = postings.join(o, ["field", "term"]).select("query_id", "field", "word", "doc_id").distinct().withColumn("hit", F.lit(1))
@@ -198,14 +202,11 @@ def run(index: Index, plans: Sequence[Plan]) -> Result:
     for p in live:
         p.diag["positional"] = bool(index.positions and p.options.phrase_mode != "unordered")
     term_rows = [r for p in live for r in _term_rows(index, p)]
-    qt = spark.createDataFrame(term_rows, TERM_SCHEMA)
-    if len(term_rows) <= BROADCAST_TERMS:
-        qt = F.broadcast(qt)
+    qt = small_table(spark, term_rows, TERM_SCHEMA)
     q_rows = [(p.query_id, *map(float, (p.knobs.title_bonus_base, p.knobs.title_bonus_span, p.knobs.title_bonus_half, p.knobs.title_bonus_partial)), len(p.slots) if p.profile.title_field in p.weights else 0) for p in live]
-    qs = F.broadcast(spark.createDataFrame(q_rows, QUERY_SCHEMA))
-    postings = index.table("postings").select("field", "term", "doc_id", "freq")
-    fields_used = sorted({f for p in live for f in p.weights})
-    matched = postings.where(F.col("field").isin(fields_used)).join(qt, ["field", "term"])
+    qs = small_table(spark, q_rows, QUERY_SCHEMA)
+    postings = read_terms(index, ((r[1], r[2]) for r in term_rows)).select("field", "term", "doc_id", "freq", "len", "title_len")
+    matched = postings.join(qt, ["field", "term"])
     kept = exclude(index, live, retrieve(live, matched))
     scored = score(index, live, matched, kept, qs)
     ordered = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("title_len"), "doc_id")))
@@ -215,6 +216,27 @@ def run(index: Index, plans: Sequence[Plan]) -> Result:
     return Result(present(index, page, length), ordered.select("query_id", "doc_id", "score", "rank"), list(plans))
 
 
+def read_terms(index: Index, asked: Iterable[tuple[str, str]]) -> DataFrame:
+    """Postings among which are all of the given fields and terms: the scan reads those fields, and of the sorted files the row groups and pages that may have the terms.
+
+    A few terms are compared with each; of more, sorted, the ranges of neighbours are.
+    """
+    pairs = set(asked)
+    fields_, terms = sorted({f for f, _ in pairs}), sorted({t for _, t in pairs}, key=lambda t: t.encode())
+    if not terms:
+        return index.table("postings").where("false")
+    term = F.col("term")
+    if len(terms) <= EQUALITIES:
+        some = [term == t for t in terms]
+    else:
+        size = -(-len(terms) // RANGES)
+        some = [(term >= terms[i]) & (term <= terms[min(i + size, len(terms)) - 1]) for i in range(0, len(terms), size)]
+    # as a balanced tree, so that many terms don't make a deep expression
+    while len(some) > 1:
+        some = [a | b for a, b in zip(some[::2], some[1::2])] + some[len(some) & ~1 :]
+    return index.table("postings").where(F.col("field").isin(fields_) & some[0])
+
+
 def _limit(p: Plan) -> int:
     return p.profile.phase1_limit if p.options.two_phase and any(f in p.weights for f in p.profile.heavy_fields) else p.profile.candidate_limit
 
@@ -231,13 +253,13 @@ def retrieve(plans: Sequence[Plan], matched: DataFrame) -> DataFrame:
     if broad:
         # all required words are broad: documents with an optional word, then a bounded sample of the rarest group's
         spark = matched.sparkSession
-        anchors = spark.createDataFrame([(p.query_id, t, i, p.profile.broad_cap) for p in broad for i, t in enumerate(p.groups[p.anchor])], "query_id long, term string, place int, most long")
-        first = matched.where("grp > 0").join(F.broadcast(anchors), ["query_id", "term"]).select("query_id", "doc_id", "field", "place", "most")
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "field").orderBy("place", "doc_id"))).where(F.col("r") <= F.col("most"))
+        anchors = small_table(spark, [(p.query_id, t, i) for p in broad for i, t in enumerate(p.groups[p.anchor])], "query_id long, term string, place int")
+        first = matched.where("grp > 0").join(anchors, ["query_id", "term"]).select("query_id", "doc_id", "field", "place")
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "field").orderBy("place", "doc_id"))).where(F.col("r") <= broad[0].profile.broad_cap)  # the same for the whole batch: a constant is applied before the shuffle, too
         sample = first.select("query_id", "doc_id").distinct().withColumn("sampled", F.lit(True))
         seeds = cand.where("seed").groupBy("query_id").agg(F.count("*").alias("seeds"))
-        marks = spark.createDataFrame([(p.query_id, True, _limit(p)) for p in broad], "query_id long, broad boolean, cand_limit long")
-        some = cand.join(sample, ["query_id", "doc_id"], "left").join(F.broadcast(marks), "query_id", "left").join(seeds, "query_id", "left")
+        marks = small_table(spark, [(p.query_id, True, _limit(p)) for p in broad], "query_id long, broad boolean, cand_limit long")
+        some = cand.join(sample, ["query_id", "doc_id"], "left").join(marks, "query_id", "left").join(seeds, "query_id", "left")
         few = (F.col("cand_limit") <= 0) | (F.coalesce("seeds", F.lit(0)) < F.col("cand_limit"))
         cand = some.where(F.col("broad").isNull() | F.col("seed") | (F.col("sampled") & few)).select("query_id", "doc_id", "cov", "first")
     limit = max((_limit(p) for p in plans), default=0)  # the options are the same for the whole batch
@@ -250,26 +272,30 @@ def retrieve(plans: Sequence[Plan], matched: DataFrame) -> DataFrame:
 def exclude(index: Index, plans: Sequence[Plan], kept: DataFrame) -> DataFrame:
     """Candidates without those that excluded words, prefixes or phrases rule out, and with the required phrases only; after the prune, as exclusions don't count there."""
     spark = index.spark
-    postings = index.table("postings").select("field", "term", "doc_id")
     words = [(p.query_id, f, t) for p in plans for f in p.weights for t in p.excluded]
     if words:
-        w = F.broadcast(spark.createDataFrame(words, "query_id long, field string, term string"))
-        kept = kept.join(postings.join(w, ["field", "term"]).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        w = small_table(spark, words, "query_id long, field string, term string")
+        kept = kept.join(read_terms(index, ((f, t) for _, f, t in words)).join(w, ["field", "term"]).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     starts = [(p.query_id, f, s, s[0]) for p in plans for f in p.weights for s in p.parsed.excluded_prefixes]
     if starts:
-        w = F.broadcast(spark.createDataFrame(starts, "query_id long, field string, prefix string, fc string"))
+        w = small_table(spark, starts, "query_id long, field string, prefix string, fc string")
+        of = [F.col("term").startswith(s) for s in sorted({s for _, _, s, _ in starts})]
+        postings = index.table("postings").where(functools.reduce(operator.or_, of)).select("field", "term", "doc_id")
         hit = postings.withColumn("fc", F.substring("term", 1, 1)).join(w, ["field", "fc"]).where(F.col("term").startswith(F.col("prefix")))
         kept = kept.join(hit.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     phrases = [(p, excluded, i, g) for p in plans for excluded, gs in ((False, p.parsed.required_phrases), (True, p.parsed.excluded_phrases)) for i, g in enumerate(gs) if p.diag["positional"] or excluded]
     if phrases:
+        # used three times from here on
+        with Scratch(spark, "candidates") as scratch:
+            kept = scratch.write(kept, keep=True)
         hits = phrase_hits(index, phrases, kept)
         out = hits.where("excluded").select("query_id", "doc_id")
         kept = kept.join(out, ["query_id", "doc_id"], "left_anti") if any(e for _, e, _, _ in phrases) else kept
         asked = {p.query_id: len(p.parsed.required_phrases) for p, e, _, _ in phrases if not e}
         if asked:
             found = hits.where("not excluded").groupBy("query_id", "doc_id").agg(F.count_distinct("phrase").alias("n"))
-            need = spark.createDataFrame(list(asked.items()), "query_id long, need long")
-            ok = kept.join(F.broadcast(need), "query_id", "left").join(found, ["query_id", "doc_id"], "left")
+            need = small_table(spark, list(asked.items()), "query_id long, need long")
+            ok = kept.join(need, "query_id", "left").join(found, ["query_id", "doc_id"], "left")
             kept = ok.where(F.col("need").isNull() | (F.col("n") == F.col("need"))).select("query_id", "doc_id")
     return kept
 
@@ -282,9 +308,9 @@ def phrase_hits(index: Index, phrases: Sequence[tuple], kept: DataFrame) -> Data
     """
     spark = index.spark
     rows = [(p.query_id, f, t, i, j, excluded, len(g), p.diag["positional"]) for p, excluded, i, g in phrases for f in p.weights for j, t in enumerate(g)]
-    w = F.broadcast(spark.createDataFrame(rows, "query_id long, field string, term string, phrase int, place int, excluded boolean, n int, ordered boolean"))
+    w = small_table(spark, rows, "query_id long, field string, term string, phrase int, place int, excluded boolean, n int, ordered boolean")
     pos = F.col("pos") if index.positions else F.array(F.lit(0))
-    near = index.table("postings").withColumn("pos", pos).select("field", "term", "doc_id", "pos").join(w, ["field", "term"]).join(kept, ["query_id", "doc_id"], "left_semi")
+    near = read_terms(index, ((r[1], r[2]) for r in rows)).withColumn("pos", pos).select("field", "term", "doc_id", "pos").join(w, ["field", "term"]).join(kept, ["query_id", "doc_id"], "left_semi")
     starts = near.withColumn("start", F.explode(F.when(F.col("ordered"), F.transform("pos", lambda p: p - F.col("place"))).otherwise(F.array(F.lit(0)))))
     got = starts.groupBy("query_id", "doc_id", "field", "phrase", "excluded", "start", "n").agg(F.count_distinct("place").alias("places"))
     return got.where("places = n").select("query_id", "doc_id", "phrase", "excluded").distinct()
@@ -295,10 +321,8 @@ def score(index: Index, plans: Sequence[Plan], matched: DataFrame, kept: DataFra
 
     All aggregates are over query and document, with more keys or fewer, so one shuffle serves them.
     """
-    lens = index.table("doclens")
     algos = {p.algo for p in plans}
-    # the documents' rows meet their lengths by document
-    rows = matched.join(kept, ["query_id", "doc_id"], "left_semi").join(lens, ["field", "doc_id"], "left").withColumn("dl", F.coalesce(F.col("len"), F.lit(1)).cast("double"))
+    rows = matched.join(kept, ["query_id", "doc_id"], "left_semi").withColumn("dl", F.col("len").cast("double"))
     rows = rows.repartition("query_id", "doc_id")
     docs = _document_scores(rows)
     if "bm25f" in algos:
@@ -307,8 +331,10 @@ def score(index: Index, plans: Sequence[Plan], matched: DataFrame, kept: DataFra
     if "rrf" in algos:
         docs = _fuse(docs)
     title = next((p.profile.title_field for p in plans), None)
-    lengths = lens.where(F.col("field") == title).select("doc_id", F.col("len").alias("title_len"))
-    whole = docs.join(lengths, "doc_id", "left").join(qs, "query_id")
+    if title != index.meta.get("title"):
+        lengths = index.table("doclens").where(F.col("field") == title).select("doc_id", F.col("len").alias("title_len"))
+        docs = docs.drop("title_len").join(lengths, "doc_id", "left")
+    whole = docs.join(qs, "query_id")
     share = F.least(F.lit(1.0), F.col("concepts") / F.greatest(F.lit(1), F.coalesce("title_len", F.lit(0))))
     bonus = F.when((F.col("concepts") == 0) | (F.col("slots") == 0), 1.0).when(F.col("slots") >= F.col("concepts"), F.col("base") + F.col("span") * share * share).when(F.col("slots") * 2 >= F.col("concepts"), F.col("half")).otherwise(F.col("partial"))
     final = whole.withColumn("score", F.col("raw") * F.col("near") * bonus).where("score > 0").select("query_id", "doc_id", "score", "title_len", "matches", "field_scores")
@@ -346,7 +372,7 @@ def _document_scores(rows: DataFrame) -> DataFrame:
     value = F.when(a.isin("bm25", "bm25+cov", "rrf"), term_score("bm25")).when(a == "dfr", term_score("dfr")).when(a == "freq", term_score("freq")).when((a == "idf") & ~F.col("wild"), term_score("idf")).otherwise(0.0)
     keys = ["query_id", "doc_id", "field"]
     # constant for a query and field, so any row's value will do; max keeps to hash aggregation
-    same = ["total_weight", "weight", "total", "plain_total", "rrf_k", "prox", "dl"]
+    same = ["total_weight", "weight", "total", "plain_total", "rrf_k", "prox", "dl", "title_len"]
     typed = F.when(F.col("orig"), F.col("freq"))
     concept = rows.groupBy(*keys, "algo", "concept").agg(
         F.sum(value).alias("v"), F.max(F.when((a == "idf") & F.col("wild"), term_score("idf"))).alias("rarest"), F.max(F.least("boost", "cap")).alias("held"), F.sum("boost").alias("plain"),
@@ -364,13 +390,13 @@ def _document_scores(rows: DataFrame) -> DataFrame:
     pair = lambda x, y: F.col("weight") / (1 + F.col("dl") / (x + y))
     with_later = lambda x, i: F.aggregate(F.slice("f", i + 2, n), F.lit(0.0), lambda t, y: t + pair(x, y))
     pairs = F.when(dense, F.aggregate(F.transform("f", with_later), F.lit(0.0), lambda t, v: t + v)).otherwise(0.0)
-    ready = fields_.select("query_id", "doc_id", "field", "algo", "rrf_k", "prox", "total_weight", "terms", "slot", (F.col("weight") * s).alias("s"), F.round(F.when(a == "bm25f", 0.0).otherwise(s), 4).alias("own"), (F.col("weight") * 100.0 * plain_cov).alias("c"), pairs.alias("pairs"), F.when(dense, n * (n - 1) / 2).otherwise(0.0).alias("k"))
+    ready = fields_.select("query_id", "doc_id", "field", "algo", "rrf_k", "prox", "total_weight", "title_len", "terms", "slot", (F.col("weight") * s).alias("s"), F.round(F.when(a == "bm25f", 0.0).otherwise(s), 4).alias("own"), (F.col("weight") * 100.0 * plain_cov).alias("c"), pairs.alias("pairs"), F.when(dense, n * (n - 1) / 2).otherwise(0.0).alias("k"))
     docs = ready.groupBy("query_id", "doc_id", "algo").agg(
-        F.max("rrf_k").alias("rrf_k"), (F.sum("s") / F.max("total_weight")).alias("raw"), (F.sum("c") / F.max("total_weight")).alias("cover"), F.max("prox").alias("prox"), F.sum("pairs").alias("pairs"), F.sum("k").alias("k"),
+        F.max("rrf_k").alias("rrf_k"), F.max("title_len").alias("title_len"), (F.sum("s") / F.max("total_weight")).alias("raw"), (F.sum("c") / F.max("total_weight")).alias("cover"), F.max("prox").alias("prox"), F.sum("pairs").alias("pairs"), F.sum("k").alias("k"),
         F.bit_count(F.bit_or("slot")).alias("slots"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "terms")))).alias("matches"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "own")))).alias("field_scores"),
     )
     near = F.when(F.col("k") > 0, 1 + F.col("prox") * F.least(F.lit(1.0), F.col("pairs") / F.col("k"))).otherwise(1.0)
-    return docs.select("query_id", "doc_id", "algo", "rrf_k", "raw", "cover", near.alias("near"), "slots", "matches", "field_scores")
+    return docs.select("query_id", "doc_id", "algo", "rrf_k", "title_len", "raw", "cover", near.alias("near"), "slots", "matches", "field_scores")
 
 
 def _bm25f_scores(rows: DataFrame) -> DataFrame:
