@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Irregular plurals, and suffix rules in the order in which the first that fits is taken.
-# A rule: suffix, least length of the word, what is put after the word without the suffix; "2" undoubles the end.
+# Fixed values, all tables up to MORPH_DOUBLED: irregular plurals; suffix rules in the order in which the first that fits is taken, and
+# those that need a lexicon (a rule: suffix, least length of the word, what is put after the word without the suffix; "2" undoubles the end);
+# letters that are doubled; endings of longer forms.
 IRREGULAR = {"children": "child", "women": "woman", "men": "man", "people": "person", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose"}
 RULES = [
     ("iness", 5, ["y"]), ("ness", 5, [""]), ("ies", 5, ["y"]), ("ves", 5, ["f", "fe"]), ("oes", 5, ["o"]), ("sses", 5, ["s", "ss"]), ("es", 5, ["e", ""]), ("s", 5, [""]),
@@ -15,7 +17,7 @@ RULES = [
 ]
 RISKY = [("lity", 7, ["le"]), ("ity", 6, ["", "e"]), ("ily", 6, ["y"]), ("ly", 5, [""]), ("ous", 6, ["", "e"]), ("est", 6, ["", "e", "2"]), ("er", 5, ["", "e", "2"])]
 DOUBLED = "bcdfghjklmnpqrstvwz"
-MORPH = "s es ed d ing er ers est ly ful ness ment tion sion ling lling al ial ual ous ious ity ety ize ise".split()
+MORPH = ["s", "es", "ed", "d", "ing", "er", "ers", "est", "ly", "ful", "ness", "ment", "tion", "sion", "ling", "lling", "al", "ial", "ual", "ous", "ious", "ity", "ety", "ize", "ise"]
 MORPH_AFTER_E = ["ing", "ed", "er", "ers", "ation"]
 MORPH_DOUBLED = ["ing", "ed", "er"]
 
@@ -68,6 +70,14 @@ def morph_forms(word: str) -> list[str]:
 
 def osa(a: str, b: str) -> int:
     """Optimal string alignment: edits, and transpositions of neighbours, no substring edited twice."""
+    # what both begin or end with costs nothing
+    i, most = 0, min(len(a), len(b))
+    while i < most and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < most - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -81,24 +91,13 @@ def osa(a: str, b: str) -> int:
 
 
 def osa_column(a: Column, b: Column) -> Column:
-    """The same as nested aggregates over the letters; the state is the last two rows of the table."""
-    x, y = F.split(a, ""), F.split(b, "")
-    first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda v: v.cast("int"))
+    """The same for columns, in Arrow batches: built-in functions have no transpositions. For candidates that levenshtein has left."""
 
-    def row(state: Column, i: Column) -> Column:
-        one, two = state["one"], state["two"]
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else osa(p, q) for p, q in zip(x, y)], dtype="Int32")
 
-        def cell(now: Column, j: Column) -> Column:
-            cost = F.when(F.get(x, i - 1) == F.get(y, j - 1), 0).otherwise(1)
-            d = F.least(F.get(one, j) + 1, F.element_at(now, -1) + 1, F.get(one, j - 1) + cost)
-            swapped = (i > 1) & (j > 1) & (F.get(x, i - 1) == F.get(y, j - 2)) & (F.get(x, i - 2) == F.get(y, j - 1))
-            return F.concat(now, F.array(F.when(swapped, F.least(d, F.get(two, j - 2) + 1)).otherwise(d).cast("int")))
-
-        now = F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i.cast("int")), cell)
-        return F.struct(now.alias("one"), one.alias("two"))
-
-    table = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.struct(first.alias("one"), first.alias("two")), row)
-    return F.when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(F.element_at(table["one"], -1))
+    return distance(a, b)
 
 
 def encode_positions(positions: list[int]) -> bytes:

@@ -13,6 +13,7 @@ from quern.plans.expand import begin, fuzzy_candidates
 from quern.plans.index import Index
 from quern.plans.oracle import INDEX, Search, Term, search_sql
 from quern.plans.query import Profile
+from quern.plans.small import small_table
 from quern.scratch import root
 from quern.search import Searcher
 from quern.sources.tables import table
@@ -159,15 +160,15 @@ select word, term, (case when l <= budget then l else o end)::int as distance fr
 
 
 def fuzzy_osa(spark: SparkSession, folder: str) -> DataFrame:
-    """Every vocabulary word of eight letters against itself with two neighbours swapped."""
-    v = document_index(spark, folder).table("vocabulary").where("len = 8").select("term")
-    swapped = F.concat(F.substring("term", 1, 3), F.substring("term", 5, 1), F.substring("term", 4, 1), F.substring("term", 6, 3))
+    """Every vocabulary word of two letters or more against itself with the two neighbours in its middle swapped."""
+    v = document_index(spark, folder).table("vocabulary").where("len >= 2").select("term", F.expr("int(len / 2)").alias("i"))
+    swapped = F.expr("concat(left(term, i - 1), substring(term, i + 1, 1), substring(term, i, 1), substring(term, i + 2))")
     return v.select("term", swapped.alias("other")).select("term", "other", osa_column(F.col("term"), F.col("other")).alias("distance"))
 
 
 QUERIES["fuzzy_osa"] = fuzzy_osa
 # two swapped neighbours are one edit, unless they are equal
-SQL["fuzzy_osa"] = f"with {INDEX}, v as (select distinct term from ts where length(term) = 8), p as (select term, left(term, 3) || substr(term, 5, 1) || substr(term, 4, 1) || substr(term, 6, 3) as other from v) select term, other, (term <> other)::int as distance from p"
+SQL["fuzzy_osa"] = f"with {INDEX}, v as (select distinct term, length(term) // 2 as i from ts where length(term) >= 2), p as (select term, left(term, i - 1) || substr(term, i + 1, 1) || substr(term, i, 1) || substr(term, i + 2) as other from v) select term, other, (term <> other)::int as distance from p"
 
 
 def _plans(queries: list[str], **options) -> Callable[[SparkSession, str], DataFrame]:
@@ -181,7 +182,16 @@ def _plans(queries: list[str], **options) -> Callable[[SparkSession, str], DataF
     return run
 
 
-QUERIES["auto_route"] = _plans(["how does gravity work", "guitar", "orch*", "guitar notary", "guiatr notary", "xqzzt guitar"], algo="auto", confidence=85)
+_ROUTES = ["how does gravity work", "guitar", "orch*", "guitar notary", "guiatr notary", "xqzzt guitar", "+guitar notary"]
+
+
+def auto_route(spark: SparkSession, folder: str) -> DataFrame:
+    """Algorithms that queries are routed to: questions, single words, prefixes and typing errors to freq, the rest to cover."""
+    return _plans(_ROUTES, algo="auto", confidence=85)(spark, folder).select("query", "algo").distinct()
+
+
+QUERIES["auto_route"] = auto_route
+SQL["auto_route"] = "select * from (values " + ", ".join(f"('{q}', '{'cover' if q.endswith('guitar notary') else 'freq'}')" for q in _ROUTES) + ") v(query, algo)"
 QUERIES["morph_expand"] = _plans(["conduct player", "+sing"], stemming=True)
 
 
@@ -260,12 +270,12 @@ union all select 1, (select count(*) from ({SQL["required_and"]})), greatest(1,
 
 
 def batch_throughput(spark: SparkSession, folder: str) -> DataFrame:
-    """The best document of each of the commonest two-word queries of the log, in one batch."""
-    log = table(spark, folder, "search_log").where("page = 1").select(text.phrase("query").alias("q")).where("q rlike '^[a-z]+ [a-z]+$'")
-    asked = [r["q"] for r in log.groupBy("q").count().orderBy(F.desc("count"), "q").limit(200).collect()]
+    """The best document of each distinct query among the log's rows whose id is divisible by 50, in one batch."""
+    log = table(spark, folder, "search_log").where("id % 50 = 0").select(text.phrase("query").alias("q")).where("q <> ''")
+    asked = [r["q"] for r in log.distinct().orderBy("q").collect()]  # a batch of queries, which the searcher refuses if it is too large
     r = Searcher(document_index(spark, folder)).search_batch(asked, algo="bm25", fields=WEIGHTS, per_page=1)
-    names = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
-    return r.hits.join(F.broadcast(names), "query_id").select("query", "doc_id", F.round("score", 3).alias("score"))
+    names = small_table(spark, list(enumerate(asked)), "query_id long, query string")
+    return r.hits.join(names, "query_id").select("query", "doc_id", F.round("score", 3).alias("score"))
 
 
 QUERIES["batch_throughput"] = batch_throughput

@@ -11,7 +11,8 @@ import regex
 from quern.functions import text
 
 ALGORITHMS = ("auto", "bm25", "bm25+cov", "bm25f", "rrf", "dfr", "cover", "idf", "freq")
-QUESTION_WORDS = frozenset("how what which who whom whose when where why".split())
+# Words that make a query a question, and the names and defaults of Knobs and Profile.
+QUESTION_WORDS = frozenset(["how", "what", "which", "who", "whom", "whose", "when", "where", "why"])
 FIELD_NAME = re.compile(r"[a-z][a-z0-9_]{0,30}")
 
 _UNWANTED = regex.compile(r"""[^\p{L}\p{N}\p{M}\s'"*+^.:\-]""")

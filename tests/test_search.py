@@ -1,11 +1,13 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.plans.index import Index
 from quern.plans.query import Profile
-from quern.search import Searcher, mark_snippet
+from quern.plans.small import small_table
+from quern.search import Searcher, mark_snippet, read_terms
 from quern.plans.query import normalizer
 
 FILL = "harbour"
@@ -200,3 +202,62 @@ def test_two_phase(spark, tmp_path):
     s = Searcher(ix, Profile(heavy_fields=("body",)))
     assert found(s.search("apple", two_phase=True)) == [1] and set(found(s.search("apple"))) == {1, 2}
     assert set(found(s.search("+apple", two_phase=True))) == {1, 2}
+
+
+def test_searches_read_only_row_groups_that_may_have_their_terms(spark, tmp_path):
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}word" for a in "abcdefghijklmnop" for b in "abcdefghij"]
+    ix = build(spark, tmp_path, [(i, f"t{i}", " ".join(rng.choices(vocabulary, k=60))) for i in range(1500)])
+
+    def read(pairs):
+        """Pushed filters, and rows that the scan gave out; a plan without exchange is its own final plan."""
+        df = read_terms(ix, pairs)
+        assert df.count() <= ix.table("postings").count()
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        leaf = plan.collectLeaves().head()
+        return leaf.toString(), leaf.metrics().apply("numOutputRows").value()
+
+    every = ix.table("postings").where("field = 'body'").count()
+    text_, rows_ = read([("body", "aaword"), ("body", "abword")])
+    assert "PushedFilters" in text_ and "EqualTo(term" in text_ and "field" in text_.split("PartitionFilters", 1)[1].split("]")[0]
+    assert rows_ <= every / 3
+    text_, rows_ = read([("body", f"a{b}{i}") for b in "abcdefghij" for i in ["word", *range(30)]])
+    assert "GreaterThanOrEqual(term" in text_ and rows_ <= every / 2
+    assert read_terms(ix, []).count() == 0
+
+
+def test_ranges_of_many_terms_hold_each(spark, cut, monkeypatch):
+    monkeypatch.setattr("quern.search.EQUALITIES", 1)
+    monkeypatch.setattr("quern.search.RANGES", 2)
+    assert len(found(Searcher(cut).search("lantern paprika paper", fields={"body": 1.0}))) == 25
+
+
+def test_pointers_are_never_overwritten(spark, tmp_path):
+    ix = build(spark, tmp_path, [(1, "a", "one"), (2, "b", "two")])
+    df = spark.createDataFrame([(3, "c", "three")], "doc_id long, title string, body string")
+    first = ix.upsert(df, title="title", opening="body")
+    # a writer that had read the version before is refused, and a reader still sees the last one
+    with pytest.raises(RuntimeError):
+        ix.upsert(df, title="title", opening="body")
+    assert Index.open(spark, ix.path).meta["version"] == first.meta["version"] != ix.meta["version"]
+    # the tables of the version that was open before are still there, and a pointer without content counts for nothing
+    assert ix.table("documents").count() == 2
+    (tmp_path / "index" / "pointers" / "000000000003").write_text("")
+    assert Index.open(spark, ix.path).meta["version"] == first.meta["version"]
+    assert Index.open(spark, ix.path).delete(df.select("doc_id")).table("documents").count() == 2
+
+
+def test_too_large_batches_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("quern.plans.small.BROADCAST_ROWS", 3)
+    assert small_table(spark, [(1,)] * 3, "x long").count() == 3
+    with pytest.raises(ValueError):
+        small_table(spark, [(1,)] * 4, "x long")
+
+
+def test_a_word_in_most_documents(spark, tmp_path):
+    """Ranks of a broad word's documents are limited before anything is shuffled."""
+    ix = build(spark, tmp_path, [(i, f"t{i}", "common" + (" rare" if i % 100 == 0 else "")) for i in range(600)])
+    r = Searcher(ix).search("+common rare", fields={"body": 1.0}, broad_cap=20)
+    assert r.plans[0].truncated and sorted(found(r)) == sorted({*range(20), *range(0, 600, 100)})
+    assert "WindowGroupLimit" in r.scored._jdf.queryExecution().toString()
