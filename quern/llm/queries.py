@@ -84,15 +84,20 @@ def p6_row_groups(spark: SparkSession, folder: str) -> DataFrame:
         return scratch.write(skipped_row_groups(spark, uri, 3).agg(*(F.sum(c).alias(c) for c in ("row_groups", "skipped", "rows", "rows_read"))), keep=True)
 
 
-def p5_estimates(spark: SparkSession, folder: str) -> DataFrame:
+def _heavy_queries(spark: SparkSession, folder: str) -> DataFrame:
     """The commonest queries with estimated and exact counts."""
     log = table(spark, folder, "search_log").where("page = 1 and id is not null").select("id", text.phrase("query").alias("query"))
     found = heavy_hitters(log.where("query <> ''"), "query", 0.005, once_by="id")
     return found.withColumnRenamed("value", "query")
 
 
+def p5_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the sketch's estimates are within a quarter of the threshold of the counts, as the width is chosen for."""
+    return _heavy_queries(spark, folder).select("query", "count", (F.abs(F.col("estimate") - F.col("count")) <= 0.25 * 0.005 * F.col("total")).alias("close"))
+
+
 def p5_queries(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_estimates(spark, folder).select("query", "count", "total")
+    return _heavy_queries(spark, folder).select("query", "count", "total")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +136,28 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(*(lambda m, t: (m, "source", "tokens", t))(*_mixture(spark, folder)))
 
 
+def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for a packing: each text once and whole, cut only above the capacity; no bin over it; and bins within 1 % of the least possible number, or one bin."""
+    packed = p8_packed(spark, folder)
+    tasks = table(spark, folder, "pack_sizes").select("pack_id", F.col("capacity").cast("long").alias("capacity"))
+    own = packed.join(F.broadcast(tasks.limit(10_000)), "pack_id")
+    texts = own.groupBy("pack_id", "doc_id", "capacity").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max("part").alias("last"))
+    cut = texts.groupBy("pack_id").agg(F.count("*").alias("texts"), F.max((F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))) | (F.col("last") != F.col("parts") - 1)).alias("wrong"))
+    bins = own.where("bin_id is not null").groupBy("pack_id", "capacity", "bin_id").agg(F.sum("size").alias("fill"))
+    full = bins.groupBy("pack_id", "capacity").agg(F.count("*").alias("bins"), F.max("fill").alias("most"), F.sum("fill").alias("tokens"))
+    least = F.ceil(F.col("tokens") / F.col("capacity"))
+    return full.join(cut, "pack_id").select("pack_id", "capacity", "texts", (~F.col("wrong")).alias("whole"), (F.col("most") <= F.col("capacity")).alias("fits"), (F.col("bins") <= F.greatest(least + 1, 1.01 * least)).alias("tight"))
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for a mixture, for each wanted source: its target, its texts, each used at most max_repeats times, and all of them evenly."""
+    mixture, wanted = _mixture(spark, folder)
+    asked = spark.createDataFrame([(s, round(w, 9), m) for s, w, m in wanted], "source string, target_share double, max_repeats int")
+    use = mixture.groupBy("source").agg(F.count("*").alias("texts"), F.max("copies").alias("most"), F.min(F.when(F.col("tokens") > 0, F.col("copies"))).alias("least"))
+    both = F.broadcast(asked).join(use, "source", "left")
+    return both.select("source", "target_share", "max_repeats", F.coalesce("texts", F.lit(0)).cast("long").alias("texts"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("kept"), (F.coalesce(F.col("most") - F.col("least"), F.lit(0)) <= 1).alias("even"))
+
+
 def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects of all documents, with the share of sentences about each."""
     subjects = [r["subject"] for r in _few(table(spark, folder, "subjects").orderBy("subject"))]
@@ -142,7 +169,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_subjects(spark, folder).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p5_estimates": p5_estimates, "p6_found": p6_found, "p6_row_groups": p6_row_groups, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p3_found": p3_found, "p3_days": p3_days, "p4_found": p4_found, "p4_degrees": p4_degrees, "p5_found": p5_found, "p5_queries": p5_queries, "p5_estimates": p5_estimates, "p6_found": p6_found, "p6_row_groups": p6_row_groups, "p8_packed": p8_packed, "p8_bins": p8_bins, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_kept": p9_kept, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 SQL_TERMS = f"""with {SQL_LIVE},
 vocabulary as (select distinct {text.sql_term("term")} as term from unique_terms),
@@ -177,6 +204,13 @@ deg as (select a.doc_id, a.field, a.a as term, coalesce(any_value(k), 0) as weig
 df as (select field, term, count(*) as doc_freq from deg group by all)
 select doc_id, field, d.term, weight, doc_freq, round(weight * ln(((select count(*) from indexed) + 0.5) / (doc_freq + 0.5) + 1), 6) as score from deg d join df using (field, term)""",
     "p6_found": f"with {SQL_LIVE} select field, term, doc_id from live qualify row_number() over (partition by field, term order by freq desc, doc_id) <= 3",
+    "p5_estimates": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
+counted as (select query, count(*) as n from once where query <> '' group by query)
+select query, n as count, true as close from counted where n >= 0.005 * (select sum(n) from counted)""",
+    "p8_bins": "select pack_id, capacity::bigint as capacity, (select count(*) from documents) as texts, true as whole, true as fits, true as tight from pack_sizes",
+    "p9_kept": f"""with wanted as (select {text.sql_trim(text.sql_fold("source"))} as source, round(sum(greatest(target_share, 0)), 9) as target_share, max(max_repeats)::int as max_repeats from (select distinct * from source_targets) group by 1),
+have as (select {text.sql_trim(text.sql_fold("source"))} as source, count(*) as texts from documents group by 1)
+select w.source, target_share, max_repeats, coalesce(texts, 0) as texts, true as kept, true as even from wanted w left join have h on w.source = h.source""",
     "p5_queries": f"""with once as (select distinct id, {text.sql_phrase("query")} as query from search_log where page = 1 and id is not null),
 counted as (select query, count(*) as n from once where query <> '' group by query)
 select query, n as count, (select sum(n) from counted)::bigint as total from counted where n >= 0.005 * (select sum(n) from counted)""",
