@@ -93,9 +93,26 @@ _PLAIN_TABLE = str.maketrans(_PUNCTUATION)
 _FOLD_TABLE = str.maketrans(_PUNCTUATION | {ord(a): b for a, b in LETTERS.items()} | dict.fromkeys(range(MARKS[0], MARKS[1] + 1)))
 
 
+_OTHER = re.compile(r"[^a-z0-9\s]")
+
+
+def separated_py(text: str, folded: bool = True) -> str:
+    """A string in the form in which white space separates its tokens."""
+    low, table = text.lower(), _FOLD_TABLE if folded else _PLAIN_TABLE
+    if low.isascii():
+        return low.translate(table)
+
+    def other(m: re.Match) -> str:
+        c = table.get(ord(m[0]), m[0])
+        return c if isinstance(c, str) else ""
+
+    # few characters of most texts are in the table
+    return _OTHER.sub(other, low)
+
+
 def tokens_py(text: str, folded: bool = True) -> list[str]:
     """The same list for one string."""
-    return text.lower().translate(_FOLD_TABLE if folded else _PLAIN_TABLE).split()
+    return separated_py(text, folded).split()
 
 
 def sql_fold(x: str) -> str:
