@@ -44,17 +44,20 @@ DIGIT = re.compile(r"\d")
 
 def sentences(whole: str | None) -> list[list[str]]:
     """Folded words of each sentence. Markup is left out, and lines that are lists of links; so are words with digits."""
-    out = []
     raw = whole or ""
     if "&" in raw:
         raw = html.unescape(raw)
     if "<" in raw:
         raw = TAG.sub("\n", raw)
-    for s in BREAK.split(raw.replace("\xa0", " ")):
-        if s and not FURNITURE.search(s):
-            words = [w for w in text.tokens_py(s) if w.isalpha() or not DIGIT.search(w)]
-            if words:
-                out.append(words)
+    kept = [s for s in BREAK.split(raw.replace("\xa0", " ")) if s and not FURNITURE.search(s)]
+    out = []
+    # folded in one piece; no sentence has a line break in it
+    for line in text.separated_py("\n".join(kept)).split("\n"):
+        words = line.split()
+        if words and DIGIT.search(line):
+            words = [w for w in words if not DIGIT.search(w)]
+        if words:
+            out.append(words)
     return out
 
 
