@@ -20,19 +20,14 @@ CONCRETE = ALGORITHMS[1:]
 
 
 def run_study(searcher: Searcher, queries: Sequence[tuple[str, str, Sequence[str]]], algorithms: Sequence[str] = CONCRETE, **options) -> DataFrame:
-    """query, category, algo, rank (of the first target title in the first 50, or null), top1: one job for each algorithm."""
+    """query, category, algo, rank (of the first target title in the first 50, or null), top1: all algorithms in one batch."""
     spark = searcher.index.spark
     asked = F.broadcast(spark.createDataFrame([(i, q, c, [text.fold_py(t) for t in ts]) for i, (q, c, ts) in enumerate(queries)], "query_id long, query string, category string, targets array<string>"))
-    parts = []
-    for algo in algorithms:
-        hits = searcher.search_batch([q for q, _, _ in queries], algo=algo, per_page=DEPTH, **options).hits
-        hit = hits.join(asked, "query_id").withColumn("found", F.array_contains("targets", text.fold("title")))
-        ranks = hit.groupBy("query_id").agg(F.min(F.when(F.col("found"), F.col("rank"))).alias("rank"), F.max(F.when(F.col("rank") == 1, F.col("title"))).alias("top1"))
-        parts.append(asked.join(ranks, "query_id", "left").select("query", "category", F.lit(algo).alias("algo"), "rank", "top1"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    hits = searcher.best([q for q, _, _ in queries], algorithms, DEPTH, **options)
+    hit = hits.join(asked, "query_id").withColumn("found", F.array_contains("targets", text.fold("title")))
+    ranks = hit.groupBy("query_id", "algo").agg(F.min(F.when(F.col("found"), F.col("rank"))).alias("rank"), F.max(F.when(F.col("rank") == 1, F.col("title"))).alias("top1"))
+    wanted = asked.withColumn("algo", F.explode(F.array(*map(F.lit, algorithms))))
+    return wanted.join(ranks, ["query_id", "algo"], "left").select("query", "category", "algo", "rank", "top1")
 
 
 def mrr_by_category(study: DataFrame) -> DataFrame:
