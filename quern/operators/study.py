@@ -70,18 +70,24 @@ def known_items(spark: SparkSession, folder: str) -> list[tuple[str, str, list[s
     return [(r["title"], r["lang"], [r["title"]]) for r in rows.toLocalIterator()]
 
 
-def _study(spark: SparkSession, folder: str) -> DataFrame:
-    study = run_study(Searcher(document_index(spark, folder)), known_items(spark, folder), fields=WEIGHTS)
+def _study(spark: SparkSession, folder: str, algorithms: Sequence[str] = CONCRETE) -> DataFrame:
+    study = run_study(Searcher(document_index(spark, folder)), known_items(spark, folder), algorithms, fields=WEIGHTS)
     with Scratch(spark, "study") as scratch:
         return scratch.write(study, keep=True)
 
 
+def _bm25_and_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Both runs are parts of one study."""
+    study = _study(spark, folder, ["bm25", "cover"])
+    return run_diff(*(study.where(F.col("algo") == a).withColumn("algo", F.lit("any")) for a in ("bm25", "cover")))
+
+
 QUERIES = {
     "batch_known_item": lambda spark, folder: _study(spark, folder).select("query", "algo", "rank"),
     "mrr_by_category": lambda spark, folder: mrr_by_category(_study(spark, folder)),
     "mrr_macro": lambda spark, folder: mrr_macro(_study(spark, folder)),
     "consensus_top1": lambda spark, folder: consensus(_study(spark, folder)),
-    "run_diff": lambda spark, folder: run_diff(*(run_study(Searcher(document_index(spark, folder)), known_items(spark, folder), [a], fields=WEIGHTS).withColumn("algo", F.lit("any")) for a in ("bm25", "cover"))),
+    "run_diff": _bm25_and_cover,
 }
 SQL: dict[str, str] = {}
 

@@ -60,3 +60,10 @@ def test_study_asks_all_algorithms_in_one_batch(spark, small, monkeypatch):
     s = Searcher(document_index(spark, small))
     r = study.run_study(s, [("orchestra melody", "x", ["none"]), ("electron", "y", ["none"])], fields=WEIGHTS)
     assert len(planned) == 1 and r.count() == 2 * len(study.CONCRETE)
+
+
+def test_run_diff_is_one_study(spark, small, monkeypatch):
+    planned, real = [], quern.search.plan_queries
+    monkeypatch.setattr(quern.search, "plan_queries", lambda *a, **k: planned.append(1) or real(*a, **k))
+    d = study.QUERIES["run_diff"](spark, small)
+    assert len(planned) == 1 and {r["algo"] for r in d.collect()} <= {"any"}
